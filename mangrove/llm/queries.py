@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import bpe, exact_dedup, language, mixing, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op2_simhash": lambda s, d: simhash.op2_query(_documents(s, d)),
         "op4_sharding": lambda s, d: sharding.op4_query(_documents(s, d)),
         "op5_exact_dedup": lambda s, d: exact_dedup.op5_query(_documents(s, d)),
+        "op6_bpe": lambda s, d: bpe.op6_query(_documents(s, d)),
+        "op8_language": lambda s, d: language.op8_query(_documents(s, d)),
     }
 
 
