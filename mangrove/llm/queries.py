@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, media, mixing, sharding, simhash
+from . import bpe, exact_dedup, language, licenses, media, mixing, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_mixing": lambda s, d: mixing.op1_query(_documents(s, d)),
         "op2_simhash": lambda s, d: simhash.op2_query(_documents(s, d)),
+        "op3_licenses": lambda s, d: licenses.op3_query(_documents(s, d)),
         "op4_sharding": lambda s, d: sharding.op4_query(_documents(s, d)),
         "op5_exact_dedup": lambda s, d: exact_dedup.op5_query(_documents(s, d)),
         "op6_bpe": lambda s, d: bpe.op6_query(_documents(s, d)),
