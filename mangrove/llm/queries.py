@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, licenses, media, mixing, sharding, simhash
+from . import bpe, exact_dedup, language, licenses, media, mixing, sharding, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op4_sharding": lambda s, d: sharding.op4_query(_documents(s, d)),
         "op5_exact_dedup": lambda s, d: exact_dedup.op5_query(_documents(s, d)),
         "op6_bpe": lambda s, d: bpe.op6_query(_documents(s, d)),
+        "op7_toxicity": lambda s, d: toxicity.op7_query(_documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op8_language": lambda s, d: language.op8_query(_documents(s, d)),
         "op9_media": lambda s, d: media.op9_query(_documents(s, d)),
     }
