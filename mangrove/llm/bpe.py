@@ -182,7 +182,7 @@ def _chunks(batches):
             yield ids.slice(start, at - start), part
 
 
-def _encoder(vocab, digest: bool):
+def _encoder(vocab, digest: bool, with_ids: bool):
     def run(batches):
         coder = _coder.setdefault(0, None) or PairIndexBPE(vocab.value)
         _coder[0] = coder
@@ -191,25 +191,26 @@ def _encoder(vocab, digest: bool):
             n = pa.array([s.count(",") + 1 if s else 0 for s, _ in done], pa.int64())
             if digest:
                 sha = lambda x: hashlib.sha256(x).hexdigest()
-                cols = [n, pa.array([sha(s.encode()) for s, _ in done]), pa.array([sha(d) for _, d in done])]
+                cols = [n, pa.array([sha(s.encode()) for s, _ in done], pa.string()), pa.array([sha(d) for _, d in done], pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             else:
-                lists = [[int(x) for x in s.split(",")] if s else [] for s, _ in done]
-                cols = [n, pa.array(lists, pa.list_(pa.int32())), pa.array([d.decode() for _, d in done])]
-                names = ["n_tokens", "ids", "decoded"]
+                cols, names = [n, pa.array([d.decode() for _, d in done], pa.string())], ["n_tokens", "decoded"]
+            if with_ids:
+                lists = [np.fromstring(s, dtype=np.int32, sep=",") for s, _ in done]
+                cols, names = [*cols, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *cols], ["doc_id", *names])
 
     return run
 
 
-def encode_documents(docs: DataFrame, vocab_path: str | None = None, digest: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids array<int>, decoded of every document; with ``digest`` the SHA-256 of the ids joined
-    by commas and of the decoded text stand in for them."""
+def encode_documents(docs: DataFrame, vocab_path: str | None = None, digest: bool = False, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, decoded, ids array<int> of every document; with ``digest`` the SHA-256 of the ids joined
+    by commas and of the decoded text stand in for the decoded text."""
     with open(vocab_path or default_vocab(), "rb") as file:
         vocab = docs.sparkSession.sparkContext.broadcast(file.read())
-    out = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(vocab, digest), f"doc_id long, n_tokens long, {out}")
+    out = ("ids_sha256 string, decoded_sha256 string" if digest else "decoded string") + ", ids array<int>" * with_ids
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(vocab, digest, with_ids), f"doc_id long, n_tokens long, {out}")
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
-    return encode_documents(docs, digest=True)
+    return encode_documents(docs, digest=True, with_ids=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, licenses, media, mixing, sharding, simhash, toxicity
+from . import bpe, exact_dedup, language, licenses, line_dedup, media, mixing, sharding, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op7_toxicity": lambda s, d: toxicity.op7_query(_documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op8_language": lambda s, d: language.op8_query(_documents(s, d)),
         "op9_media": lambda s, d: media.op9_query(_documents(s, d)),
+        "op10_line_dedup": lambda s, d: line_dedup.op10_query(_documents(s, d)),
     }
 
 
