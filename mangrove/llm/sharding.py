@@ -30,15 +30,18 @@ def _mix(x: Column, round_: int) -> Column:
     return ((y * y) % PRIME * 48_271 + y) % PRIME
 
 
+def _round(k: int, a: Column, b: Column):
+    """Round ``k`` on a struct (l, r); each part is named by one lambda, so it is computed once."""
+    if k % 2:
+        return lambda p: F.struct(p["l"].alias("l"), F.pmod(p["r"] + _mix(p["l"], k), b).alias("r"))
+    return lambda p: F.struct(F.pmod(p["l"] + _mix(p["r"], k), a).alias("l"), p["r"].alias("r"))
+
+
 def _permute(x: Column, a: Column, b: Column) -> Column:
     """One pass of the generalised Feistel network on 0..a*b-1, as one expression."""
     pair = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, b).alias("r"))
     for k in range(ROUNDS):
-        if k % 2:
-            step = lambda p, k=k: F.struct(p["l"].alias("l"), F.pmod(p["r"] + _mix(p["l"], k), b).alias("r"))
-        else:
-            step = lambda p, k=k: F.struct(F.pmod(p["l"] + _mix(p["r"], k), a).alias("l"), p["r"].alias("r"))
-        pair = F.transform(F.array(pair), step)[0]
+        pair = F.transform(F.array(pair), _round(k, a, b))[0]
     return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
 
 
