@@ -69,6 +69,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a like name that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """All of a row as one struct ``_row`` beside the given columns, so that no extra column of ``df`` can clash
+    with working columns; ``select("_row.*")`` unpacks it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(k) for k, c in columns.items()])
+
+
 def attach(rows: DataFrame, side: DataFrame, key: str, salt: Column, side_rows: int, how: str = "inner") -> DataFrame:
     """Joins ``rows`` to ``side`` (one row per ``key``, null a key too).
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, word_count, written
+from .common import attach, packed, word_count, written
 
 HEX_DIGITS, LEVEL_BITS = 14, 8
 HASH_BITS = 4 * HEX_DIGITS
@@ -98,12 +98,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     plan = plan_mix(docs, **how)
     limits = plan.groupBy("source").agg(F.first("full").alias("_full"), F.first("limit").alias("_limit"))
     limits = written(limits, "mix-limits")
-    rows = docs.withColumn("_h", _hash(F.col("doc_id")))
+    rows = packed(docs, source=F.col("source"), _h=_hash(F.col("doc_id")))
     rows = attach(rows, limits, "source", F.col("_h"), limits.count())
     copies = (F.col("_full") + F.when(F.col("_h") < F.col("_limit"), 1).otherwise(0)).cast("int")
     rows = rows.withColumn("_copies", copies).where(F.col("_copies") > 0)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_query(docs: DataFrame) -> DataFrame:
