@@ -18,6 +18,7 @@ from .errors import StoreError, ValidationError
 from .operators.indexes import RESERVED, IndexStore
 from .plans.spec import LIST_IDS, SERVICE, QuerySpec
 from .sources import json_store, sinks
+from .sources.cache import DocumentCache
 
 #: Names as the service accepts them, the most bytes of a document, seconds a tool may take.
 TYPE, ID = r"[a-z0-9]+(?:[._-][a-z0-9]+)*", r"[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*"
@@ -61,7 +62,7 @@ class Service:
     def __init__(self, spark: SparkSession, root: str, *, read_only: bool = False, enabled: bool = True, seconds: Mapping[str, float] | None = None):
         self.spark, self.root, self.read_only, self.enabled = spark, root, read_only, enabled
         self.seconds = {**SECONDS, **(seconds or {})}
-        self.metrics = Metrics()
+        self.metrics, self.cache = Metrics(), DocumentCache()
         self.tools: dict[str, Callable[[Mapping[str, Any]], tuple[str, dict]]] = {
             "get_doc": self._get, "put_doc": self._put, "rm_doc": self._remove, "list_ids": self._list, "query": self._query, "ensure_index": self._index,
         }
@@ -117,7 +118,7 @@ class Service:
         type_, id_ = self._key(a)
         path = f"{self.root}/{type_}/{id_}.json"
         found = id_ in json_store.list_ids(self.root, type_)
-        doc = sinks.load_json(json_store.read_text(path), path) if found else None
+        doc = self.cache.get(path, lambda text: sinks.load_json(text, path)) if found else None
         return (f"Found document {type_}/{id_}" if found else f"Document {type_}/{id_} not found"), {"doc": doc}
 
     def _put(self, a):
