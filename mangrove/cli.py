@@ -18,7 +18,7 @@ from .errors import DocumentNotFoundError, StoreError, ValidationError
 from .functions.canonical import canonical_text
 from .functions.names import bytes_text, validate_name
 from .operators.indexes import IndexStore, reindex_totals
-from .operators.validation import SchemaRegistry, validate
+from .operators.validation import SchemaRegistry, validate_by_reference
 from .plans.spec import CLI, QuerySpec
 from .sources import json_store, sinks
 
@@ -176,27 +176,15 @@ def _schema(args, root, say):
 
 
 def _schema_validate(args, root, registry, say):
-    """Every document against the schema it names; one pass for each schema."""
-    from pyspark.sql import functions as F
-
-    from .operators.collections import Collection
-
+    """Every document against the schema it names; documents that name none are counted as warnings."""
     spark, total = _spark(), {"total": 0, "valid": 0, "warnings": 0, "errors": 0}
     for type_ in [args.type] if args.type else json_store.list_types(root):
-        docs = json_store.read_documents(spark, root, [type_])
-        ref = F.try_variant_get("doc", "$.schemaRef", "string")
-        for (name,) in docs.select(ref.alias("r")).distinct().orderBy("r").collect():
-            part = Collection(type_, docs.where(ref.eqNullSafe(F.lit(name))))
-            if name is None:
-                n = part.df.count()
-                total["total"] += n
-                total["warnings"] += n
-                continue
-            for row in validate(part, name, args.mode, registry).select("id", "ok", "errors").toLocalIterator():
-                total["total"] += 1
-                total["valid" if row.ok else "errors"] += 1
-                for e in row.errors:
-                    print(f"{type_}/{row.id} {e.pointer or '/'}: {e.message} ({e.code})", file=sys.stderr)
+        rows = validate_by_reference(json_store.collection(spark, root, type_), registry, mode="lenient" if args.mode == "lenient" else "strict")
+        for row in rows.select("id", "schema", "ok", "errors").toLocalIterator():
+            total["total"] += 1
+            total["warnings" if row.schema is None else "valid" if row.ok else "errors"] += 1
+            for e in row.errors if row.schema is not None else ():
+                print(f"{type_}/{row.id} {e.pointer or '/'}: {e.message} ({e.code})", file=sys.stderr)
     print(json.dumps(total) if args.json else "\n".join(f"{k}: {v}" for k, v in total.items()))
     if total["errors"]:
         raise Exit("validation failed")

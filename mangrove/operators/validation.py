@@ -243,6 +243,36 @@ def validate(collection, schema: Mapping[str, Any] | str, mode: str = "strict",
     return out
 
 
+def validate_by_reference(collection, registry: SchemaRegistry, defaults: Mapping[str, str] | None = None, mode: str = "strict", ref_field: str = "schemaRef", kind_field: str = "kind", formats=None) -> DataFrame:
+    """Every document against the schema it names, else its kind's default: with ``schema``, ``ok``, ``errors``.
+
+    One pass: a branch per registered schema.  Without any schema a document is fine, except in strict mode,
+    where it has the error ``ref``; so has one that names an unknown schema."""
+
+    def text(path: str) -> Column:
+        field = collection.resolver.field(path)
+        return F.lit(None).cast("string") if isinstance(field, Absent) else _text(field)
+
+    ref, kind = text(ref_field), text(kind_field)
+    for name, default in (defaults or {}).items():
+        ref = F.coalesce(ref, F.when(kind == name, default))
+    none = F.array().cast(ERROR)
+
+    def missing(message: Column) -> Column:
+        return F.array(F.struct(F.lit("ref").alias("code"), F.lit("").alias("pointer"), message.alias("message")))
+
+    unnamed = missing(F.lit("No schema for document")) if mode == "strict" else none
+    errors = F.when(ref.isNull(), unnamed)
+    for name in registry.refs():
+        errors = errors.when(ref == name, SchemaCompiler(registry.schemas[name], collection.resolver, formats).errors())
+    errors = errors.otherwise(missing(F.concat(F.lit("Schema not found: "), ref)))
+    out = collection.df.withColumn("schema", ref).withColumn("errors", none if mode == "off" else errors)
+    out = out.withColumn("ok", F.size("errors") == 0)
+    if mode == "lenient":
+        out = out.withColumn("errors", F.filter("errors", lambda e: e["code"] != "additional"))
+    return out
+
+
 def validation_errors(collection, schema, **how) -> DataFrame:
     """(type, id, code, pointer, message), one row per error."""
     rows = validate(collection, schema, **how)

@@ -463,6 +463,33 @@ def validate_required(spark, folder):
     return validation.validation_errors(_labelled(spark, folder), {"required": ["quality"]}).select("id", "code", "pointer")
 
 
+@register("validate_by_reference", """SELECT o_orderkey AS id, 'minimum' AS code FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 5000
+UNION ALL SELECT o_orderkey, 'enum' FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority NOT IN ('1-URGENT') UNION ALL SELECT o_orderkey, 'ref' FROM orders WHERE o_orderstatus = 'P'""")
+def validate_by_reference(spark, folder):
+    registry = validation.SchemaRegistry()
+    registry.add({"$id": "schema/f@1", "properties": {"o_totalprice": {"minimum": 5000}}})
+    registry.add({"$id": "schema/o@1", "properties": {"o_orderpriority": {"enum": ["1-URGENT"]}}})
+    defaults = {"F": "schema/f@1", "O": "schema/o@1", "P": "schema/p@1"}
+    rows = validation.validate_by_reference(collection(spark, folder, "orders"), registry, defaults, kind_field="o_orderstatus")
+    return rows.select(F.col("o_orderkey").alias("id"), F.explode("errors").alias("e")).select("id", "e.code")
+
+
+@register("sidecars", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'E_MD_MISSING' WHEN doc_id % 3 = 1 THEN 'E_MD_SHA' END AS error FROM documents")
+def sidecar_join(spark, folder):
+    key = [F.lit("documents").alias("type"), F.col("doc_id").cast("string").alias("id"), F.lit("body.md").alias("path")]
+    docs = table(spark, folder, "documents")
+    fields = docs.select("doc_id", *key, F.lit("body").alias("field"), F.sha2("text", 256).alias("sha256"))
+    changed = F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return mutations.sidecars(fields, docs.where("doc_id % 3 <> 0").select(*key, changed.alias("content"))).select("doc_id", "error")
+
+
+@register("slug_claims", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 2 = 0 AS ok FROM customer WHERE c_custkey < 100")
+def slug_claims(spark, folder):
+    people = table(spark, folder, "customer").where("c_custkey < 100")
+    own = lambda df: df.select(F.lit("customer").alias("type"), F.lit("").alias("scope"), F.concat(F.lit("c-"), (F.col("c_custkey") - F.col("c_custkey") % 2).cast("string")).alias("slug"), F.col("c_custkey").cast("string").alias("id"))
+    return indexes.claim_slugs(own(people.where("c_custkey % 2 = 0")), own(people)).select("id", "ok")
+
+
 # mutations
 
 
