@@ -8,7 +8,7 @@ rank goes first everywhere, each word's merges come in the order that encoding i
 
 The vocabulary file (tokenizers JSON, byte-level BPE) is a parameter; its bytes, a few MB whatever the input,
 are broadcast.  Text is handled in pieces of about CHUNK characters of whole documents, and the word cache is
-emptied at CACHE_WORDS, so memory is bounded but for one document.
+cut back at CACHE_WORDS, so memory is bounded but for one document.
 
 Cases: null counts as empty; an empty text has no tokens and decodes to an empty text; strings of added
 (special) tokens become those tokens, as with the library's defaults; repeated rows are encoded alike; an empty
@@ -26,9 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Fixed by the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK, CACHE_WORDS = 8_000_000, 300_000
+CHUNK, CACHE_WORDS = 2_000_000, 100_000
 
 
 def default_vocab() -> str:
@@ -151,12 +153,14 @@ class PairIndexBPE:
 
     def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """(ids joined by commas, decoded text in UTF-8) of each text."""
-        if len(self.ids_text) > CACHE_WORDS:
-            self.ids_text, self.decoded = {}, {}
+        cut = [self.pieces(t) for t in texts]
+        words = set().union(*cut)
+        if len(self.ids_text) > CACHE_WORDS:  # what this piece uses stays
+            self.ids_text = {w: self.ids_text[w] for w in words if w in self.ids_text}
+            self.decoded = {w: self.decoded[w] for w in self.ids_text}
         for a, i in self.added.items():
             self.ids_text[a], self.decoded[a] = str(i), self.bytes_of[i]
-        cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut))
+        self.learn(words)
         out = []
         for words in cut:
             raw = b"".join(map(self.decoded.__getitem__, words))
@@ -183,6 +187,7 @@ def _chunks(batches):
 
 
 def _encoder(vocab, digest: bool, with_ids: bool):
+    @tidy
     def run(batches):
         coder = _coder.setdefault(0, None) or PairIndexBPE(vocab.value)
         _coder[0] = coder

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from .common import tidy
+
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 300, 2000, 110 << 10
 PIECE, LEVEL = 4096, 9
 #: A margin (second sum over smallest sum, less 1) under this is narrow.
@@ -87,12 +90,14 @@ _classifier: list = [None, None]
 
 
 def _predictor(dictionaries):
-    def predict(texts: pa.Array) -> pa.Array:
+    @tidy
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if _classifier[0] != dictionaries.id:
             _classifier[:] = [dictionaries.id, Classifier(dictionaries.value)]
-        rows = [_classifier[1].classify(t.as_py()) for t in texts]
-        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-        return pa.StructArray.from_arrays(cols, ["lang", "score", "rejected"])
+        for texts in batches:
+            rows = [_classifier[1].classify(t.as_py()) for t in texts]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.StructArray.from_arrays(cols, ["lang", "score", "rejected"])
 
     return predict
 

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 BLOCK, PAD = 576, 255
 FRAME_WIDTH, FRAME_ROWS, DELAY_CS = 576, 64, 10
 BINS = 16
@@ -271,6 +273,7 @@ def read_samples(media: bytes) -> tuple[bytes, np.ndarray, int]:
     return b"".join(parts), histogram, frames
 
 
+@tidy
 def _store(batches):
     for batch in batches:
         texts = batch.column(1)
@@ -286,6 +289,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+@tidy
 def _frames(batches):
     names = ["doc_id", "frame_no", "start_cs", "delay_cs", "width", "height", "pixels", "histogram_red", "histogram_green", "histogram_blue"]
     for batch in batches:
@@ -307,6 +311,7 @@ def read_frames(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(_frames, schema)
 
 
+@tidy
 def _digest(batches):
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
     for batch in batches:

@@ -15,6 +15,7 @@ null has a null component; an empty table gives an empty result; extra columns a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import written
+from .common import tidy, written
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -51,9 +52,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-@F.arrow_udf(LongType())
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())
+@tidy
+def _prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())
+
+
+_fingerprints = F.arrow_udf(_prints, LongType())
 
 
 class BKTree:
@@ -124,6 +129,7 @@ def _picked(n: int, radius: int) -> int:
 def _search(radius: int):
     """Rows (shard, part, fp) sorted by shard -> forest edges of each shard; only one shard is held at a time."""
 
+    @tidy
     def run(batches):
         kept: list[np.ndarray] = []
         for batch in batches:

@@ -21,6 +21,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import written
+from .common import tidy, written
 
 SAMPLE_DOCS, MIN_DF, MAX_CANDIDATES, MAX_ENTRIES, MAX_EXCEPTIONS = 20_000, 4, 200_000, 4_000, 1_000
 BEGINNINGS = range(3, 10)
@@ -161,6 +162,7 @@ def fit_curve(x: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
 def _counts(candidates):
     """Partial document frequencies; of ``candidates`` only, where given."""
 
+    @tidy
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
@@ -179,6 +181,7 @@ def _counts(candidates):
 def _contexts(model):
     """(features, toxic) of each document and its hits' neighbouring words as phrases."""
 
+    @tidy
     def run(batches):
         matcher = Matcher(model.value)
         for batch in batches:
@@ -201,6 +204,7 @@ def _contexts(model):
 
 
 def _features(model):
+    @tidy
     def run(batches):
         matcher = Matcher(model.value)
         for batch in batches:
@@ -248,11 +252,11 @@ def score_documents(docs: DataFrame, model: Model, column: str = "_toxicity") ->
     """``docs`` with the score as a further column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(texts: pa.Array) -> pa.Array:
-        matcher = getattr(score, "matcher", None)
-        if matcher is None:
-            matcher = score.matcher = Matcher(shared.value)
-        return pa.array([matcher.score(t.as_py()) for t in texts], pa.float64())
+    @tidy
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(shared.value)
+        for texts in batches:
+            yield pa.array([matcher.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn(column, F.arrow_udf(score, DoubleType())(docs["text"]))
 
