@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..functions.paths import MAX_DEPTH, child_path, depth, parent_path, path_error
 from ..functions.slugs import is_slug
+from .lineage import settled
 
 
 def place_children(children: DataFrame, parents: DataFrame | None = None, parent_id: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -32,7 +33,8 @@ def place_tree(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     level = nodes.where(F.col("parent_id").isNull()).select("id", F.concat(F.lit("/"), "slug").alias("path"))
     done, rest = level, nodes.where(F.col("parent_id").isNotNull())
     for _ in range(max_depth - 1):
-        level = rest.join(level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above")), "parent_id").select("id", F.concat_ws("/", "_above", "slug").alias("path"))
+        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above"))
+        level = settled(rest.join(above, "parent_id").select("id", F.concat_ws("/", "_above", "slug").alias("path")))
         if level.isEmpty():
             break
         done = done.unionByName(level)
@@ -67,8 +69,9 @@ def documents_at(index: DataFrame, docs: DataFrame) -> DataFrame:
 def repair(docs: DataFrame) -> DataFrame:
     """One row: documents scanned, paths rebuilt, errors."""
     index, errors = path_index(docs)
-    scanned = docs.where(F.col("path").isNotNull()).agg(F.count("*").alias("scanned"))
-    return scanned.join(F.broadcast(index.agg(F.count("*").alias("rebuilt")))).join(F.broadcast(errors.agg(F.count("*").alias("errors"))))
+    parts = [docs.where(F.col("path").isNotNull()).select(F.lit("scanned").alias("what")), index.select(F.lit("rebuilt").alias("what")), errors.select(F.lit("errors").alias("what"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.agg(*[F.count(F.when(F.col("what") == name, 1)).alias(name) for name in ("scanned", "rebuilt", "errors")])
 
 
 def list_children(index: DataFrame, parent: str, limit: int | None = None, after: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Equality indexes, slug and alias tables as DataFrames.
 
-An index is one explode and one aggregation with map-side combining: (type, field, key, ids).  ``entries`` is the
-exploded form (key, id), which stays flat for keys with very many ids.
+An index is flat, a row (type, field, key, id) for each different pair, so a key that a third of all documents
+have needs no task that holds all its ids; ``as_arrays`` gives the grouped form for indexes known to be small.
 """
 
 from __future__ import annotations
@@ -100,34 +100,39 @@ def key_of(value: Any) -> str:
     raise ValidationError("indexes are looked up by scalars")
 
 
-def entries(collection: Collection, field: str) -> DataFrame:
-    """(key, id), each pair once."""
+def build_index(collection: Collection, field: str) -> DataFrame:
+    """(type, field, key, id), each pair once: one explode and one distinct, combined map-side."""
     if field in RESERVED:
         raise ValidationError(f"{field} is a reserved index name")
-    rows = collection.df.select(collection.resolver.id_column().cast("string").alias("id"), index_keys(collection.resolver.field(field)).alias("keys"))
-    return rows.select(F.explode("keys").alias("key"), "id").where(F.col("key").isNotNull()).distinct()
+    keys = index_keys(collection.resolver.field(field))
+    rows = collection.df.select(F.explode(keys).alias("key"), collection.resolver.id_column().cast("string").alias("id"))
+    rows = rows.where(F.col("key").isNotNull()).distinct()
+    return rows.select(F.lit(collection.name).alias("type"), F.lit(field).alias("field"), "key", "id")
 
 
-def build_index(collection: Collection, field: str) -> DataFrame:
-    """(type, field, key, ids): sorted distinct ids by key."""
-    rows = collection.df.select(collection.resolver.id_column().cast("string").alias("id"), F.explode(index_keys(collection.resolver.field(field))).alias("key"))
-    if field in RESERVED:
-        raise ValidationError(f"{field} is a reserved index name")
-    out = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    return out.select(F.lit(collection.name).alias("type"), F.lit(field).alias("field"), "key", "ids")
+def as_arrays(index: DataFrame) -> DataFrame:
+    """(type, field, key, ids): sorted ids by key."""
+    return index.groupBy("type", "field", "key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def key_counts(index: DataFrame) -> DataFrame:
+    """(key, n, first_id) by key."""
+    return index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def _with_value(index: DataFrame, value: Any) -> DataFrame:
+    keys = [key_of(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
+    return index.where(F.col("key").isin(keys))
 
 
 def lookup(index: DataFrame, value: Any) -> DataFrame:
     """Sorted distinct ids of one value or of any value in a list."""
-    keys = [key_of(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
-    return index.where(F.col("key").isin(keys)).select(F.explode("ids").alias("id")).distinct().orderBy("id")
+    return _with_value(index, value).select("id").distinct().orderBy("id")
 
 
 def query_with_index(collection: Collection, index: DataFrame, field: str, value: Any, filter: Mapping[str, Any] | None = None) -> DataFrame:
     """Documents of a value through the index; the filter is checked again, so a stale index adds no rows."""
-    keys = [key_of(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
-    ids = index.where(F.col("key").isin(keys)).select(F.explode("ids").alias("id"))
-    found = Collection(collection.name, collection.lookup(ids), None if collection.variant else collection.resolver.key, coercion=collection.coercion)
+    found = Collection(collection.name, collection.lookup(_with_value(index, value).select("id")), None if collection.variant else collection.resolver.key, coercion=collection.coercion)
     same = {field: {"$in": list(value)} if isinstance(value, (list, tuple)) else value}
     return found.where(same if filter is None else filter)
 
@@ -137,17 +142,18 @@ def update_index(index: DataFrame, changed: Collection, field: str, removed: Dat
     gone = changed.df.select(changed.resolver.id_column().cast("string").alias("id"))
     if removed is not None:
         gone = gone.unionByName(removed.select(F.col("id").cast("string")))
-    flat = index.select("key", F.explode("ids").alias("id")).join(gone.distinct(), "id", "left_anti").select("key", "id")
-    out = flat.unionByName(entries(changed, field)).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    return out.select(F.lit(changed.name).alias("type"), F.lit(field).alias("field"), "key", "ids")
+    kept = index.join(gone.distinct(), "id", "left_anti").select(*index.columns)
+    return kept.unionByName(build_index(changed, field))
 
 
 def index_stats(collection: Collection, index: DataFrame) -> DataFrame:
-    """One row: docs scanned, keys, ids listed, bytes of the keys and ids."""
-    size = F.octet_length("key") + F.aggregate("ids", F.lit(0), lambda a, x: a + F.octet_length(x) + 4)
-    out = index.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
-    docs = collection.df.agg(F.count("*").alias("docs_scanned"))
-    return docs.join(F.broadcast(out))  # two single-row aggregates
+    """One row: docs scanned, keys, entries, bytes of keys and ids."""
+    empty = lambda kind: F.lit(None).cast(kind)
+    rows = index.select("key", (F.octet_length("key") + F.octet_length("id")).alias("size"), F.lit(0).alias("doc"))
+    rows = rows.unionByName(collection.df.select(empty("string").alias("key"), empty("int").alias("size"), F.lit(1).alias("doc")))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.groupBy("key").agg(F.count("size").alias("n"), zero("size").alias("size"), zero("doc").alias("docs")).agg(
+        zero("docs").alias("docs_scanned"), F.count("key").alias("keys"), zero("n").alias("entries"), zero("size").alias("bytes"))
 
 
 @dataclass

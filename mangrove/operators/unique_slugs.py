@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.slugs import MAX_SLUG, limit_length
+from .lineage import settled
 
 MAX_ROUNDS, MAX_NUMBER = 50, 999
 
@@ -40,7 +41,7 @@ def unique_slugs(rows: DataFrame, scope: list[str], base: str = "base", id: str
         if judged.where("_lost").isEmpty():
             break
         number = F.when(F.col("_lost"), F.col("_n") + 1).otherwise(F.col("_n"))
-        out = judged.withColumn("_n", number).withColumn("slug", slug_of(F.col("_n"))).drop("_lost")
+        out = settled(judged.withColumn("_n", number).withColumn("slug", slug_of(F.col("_n"))).drop("_lost"))
     else:
         raise RuntimeError(f"slugs did not settle in {rounds} rounds")
     return out.drop("_n")

@@ -230,13 +230,12 @@ def list_types(spark, folder):
 
 @register("index_build", "SELECT o_orderpriority AS k, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) AS first_id FROM orders GROUP BY 1")
 def index_build(spark, folder):
-    index = indexes.build_index(collection(spark, folder, "orders"), "o_orderpriority")
-    return index.select(F.col("key").alias("k"), F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first_id"))
+    return indexes.key_counts(indexes.build_index(collection(spark, folder, "orders"), "o_orderpriority")).withColumnRenamed("key", "k")
 
 
 @register("index_multivalue", "SELECT k, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS k FROM part) GROUP BY k")
 def index_multivalue(spark, folder):
-    return indexes.build_index(_tagged(spark, folder), "tags").select(F.col("key").alias("k"), F.size("ids").cast("long").alias("n"))
+    return indexes.key_counts(indexes.build_index(_tagged(spark, folder), "tags")).select(F.col("key").alias("k"), "n")
 
 
 @register("index_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -253,13 +252,13 @@ def index_lookup_ids(spark, folder):
 @register("index_key_encoding", """SELECT k, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN CASE WHEN value = floor(value) THEN '__num__' || CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '__num__' || CAST(value AS VARCHAR) END
 WHEN 1 THEN event_type WHEN 2 THEN CASE WHEN event_id % 2 = 1 THEN '__bool__true' ELSE '__bool__false' END ELSE '__null__' END AS k FROM events WHERE event_id % 5 <> 3) WHERE k NOT LIKE '\\_\\_num%' ESCAPE '\\' GROUP BY k""")
 def index_key_encoding(spark, folder):
-    keys = indexes.entries(_mixed(spark, folder), "v").groupBy("key").agg(F.count("*").alias("n"))
-    return keys.where(~F.col("key").startswith("__num")).withColumnRenamed("key", "k")
+    keys = indexes.key_counts(indexes.build_index(_mixed(spark, folder), "v"))
+    return keys.where(~F.col("key").startswith("__num")).select(F.col("key").alias("k"), "n")
 
 
 @register("index_number_keys", "SELECT '__num__' || CAST(p_size AS VARCHAR) AS k, count(*) AS n FROM part GROUP BY 1")
 def index_number_keys(spark, folder):
-    return indexes.build_index(collection(spark, folder, "part"), "p_size").select(F.col("key").alias("k"), F.size("ids").cast("long").alias("n"))
+    return indexes.key_counts(indexes.build_index(collection(spark, folder, "part"), "p_size")).select(F.col("key").alias("k"), "n")
 
 
 @register("index_stats", "SELECT count(*) AS docs_scanned, count(DISTINCT o_orderpriority) AS keys, count(*) AS entries FROM orders")
@@ -275,7 +274,7 @@ def index_update(spark, folder):
     changed = orders.df.where("o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.lit("X"))
     gone = orders.df.where("o_orderkey % 11 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
     out = indexes.update_index(index, Collection("orders", changed, "o_orderkey"), "o_orderstatus", gone)
-    return out.select(F.col("key").alias("k"), F.size("ids").cast("long").alias("n"))
+    return indexes.key_counts(out).select(F.col("key").alias("k"), "n")
 
 
 # statistics

@@ -10,7 +10,7 @@ from mangrove.operators.unique_slugs import unique_slugs
 
 
 def as_dict(index):
-    return {r.key: r.ids for r in index.collect()}
+    return {r.key: r.ids for r in indexes.as_arrays(index).collect()}
 
 
 def test_index_keys(documents):
