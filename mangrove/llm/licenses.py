@@ -20,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import LOWER, UPPER, ascii_lower, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SEPARATOR_CHARS = "".join(map(chr, [*range(48), *range(58, 97), *range(123, 128)]))
 K = 2
 #: Least share of a template's K-grams that a span must cover, and its greatest length over the template's.
 COVER, STRETCH, SLACK = 0.75, 1.5, 2
@@ -113,8 +112,7 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
         joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"),
         F.max("cover").alias("score"), F.count("*").alias("n_spans"))
     found = found.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    marks = F.translate(F.regexp_replace(ascii_lower(text_of()), WORDS, "x"), _SEPARATOR_CHARS, "")  # one mark a word
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("key"), F.length(marks).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("key"), F.size(words_of(text_of())).cast("long").alias("n_words"))
     out = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["key"] == found["_k"]), "left")
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     return out.select("doc_id", "n_words", zero("n_base", 0), "first_word", "last_word", zero("base_labels", ""), zero("labels", ""), zero("score", 0.0), zero("n_spans", 0))
@@ -123,3 +121,27 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 def op3_query(docs: DataFrame) -> DataFrame:
     out = scan_licenses(docs)
     return out.withColumn("n_base", F.col("n_base").cast("long")).withColumn("n_spans", F.col("n_spans").cast("long"))
+
+
+def sql() -> str:
+    """The query as DuckDB SQL: the same votes, merged and verified by window functions."""
+    values = ", ".join(f"({t}, '{label}', {str(base).lower()}, {n}, {i}, '{a}', '{b}', {g})" for t, label, base, n, i, a, b, g in templates())
+    return rf"""
+WITH t(template, label, base, n_template, tpos, t1, t2, grams) AS (VALUES {values}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+v AS (SELECT doc_id, template, label, base, n_template, grams, pos - tpos AS diagonal, list(DISTINCT tpos) AS seen
+      FROM g JOIN t ON w1 = t1 AND w2 = t2 GROUP BY ALL HAVING NOT base OR count(DISTINCT tpos) = grams),
+r AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER q > {SLACK}, true) THEN 1 ELSE 0 END AS fresh FROM v
+      WINDOW q AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+u AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM r),
+m AS (SELECT doc_id, template, label, base, n_template, grams, list_distinct(flatten(list(seen))) AS seen, min(diagonal) AS d0, max(diagonal) AS d1
+      FROM u GROUP BY doc_id, template, label, base, n_template, grams, run),
+c AS (SELECT *, len(seen) / grams AS cover, greatest(d0 + list_min(seen), 0) AS start, d1 + list_max(seen) + {K} AS stop FROM m),
+s AS (SELECT doc_id, count(CASE WHEN base THEN 1 END) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
+             array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+             max(cover) AS score, count(*) AS n_spans
+      FROM c WHERE cover >= {COVER} AND stop - start <= {STRETCH} * n_template + {SLACK} GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""

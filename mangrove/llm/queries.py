@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_licenses": licenses.sql(), "op4_sharding": sharding.sql(), "op5_exact_dedup": exact_dedup.SQL}

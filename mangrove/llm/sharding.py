@@ -80,3 +80,30 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def op4_query(docs: DataFrame) -> DataFrame:
     out = shard_documents(docs).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def sql(shards: int = SHARDS) -> str:
+    """The query as DuckDB SQL.  CRC-32 is folded over the text's bytes with a table made by its rule."""
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+    def mix(x: str, k: int) -> str:
+        y = f"((({x}) % {PRIME}) * {SEED + 7_919 * k} + {104_729 * (k + 1)}) % {PRIME}"
+        return f"(((({y}) * ({y})) % {PRIME} * 48271 + ({y})) % {PRIME})"
+
+    def permuted(source: str) -> str:
+        inner = f"SELECT *, p // b AS l, p % b AS r FROM {source}"
+        for k in range(ROUNDS):
+            new = f"l, (r + {mix('l', k)}) % b AS r" if k % 2 else f"(l + {mix('r', k)}) % a AS l, r"
+            inner = f"SELECT * EXCLUDE (l, r), {new} FROM ({inner})"
+        return f"SELECT * EXCLUDE (l, r, p), l * b + r AS p FROM ({inner})"
+
+    return f"""
+WITH RECURSIVE t AS (SELECT {table} AS t),
+c AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, hex(coalesce(text, '')) AS h, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+e AS (SELECT doc_id, size, key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+             lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM c, t),
+n AS (SELECT *, row_number() OVER (ORDER BY md5(key), doc_id NULLS FIRST, size, text_crc32) - 1 AS p, count(*) OVER () AS n FROM e),
+s AS (SELECT *, CAST(greatest(ceil(sqrt(n)), 1) AS BIGINT) AS a FROM n),
+z AS (SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM s),
+w AS ({permuted("z")} UNION ALL SELECT * FROM ({permuted("(SELECT * FROM w WHERE p >= n)")}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {shards} AS INT) AS shard, p // {shards} AS slot, CAST(NULL AS INT) AS grown_shard FROM w WHERE p < n"""
