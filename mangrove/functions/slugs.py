@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .binding import let
+
 MAX_SLUG = 64
 #: Slugs kept free for URLs of an application.
 RESERVED_WORDS = ("new", "edit", "delete", "create", "update", "admin", "api", "app", "assets", "public", "private", "static", "index", "search")
@@ -63,11 +65,15 @@ def transliterate(text: Column, strategy: str | Callable[[Column], Column] = "as
     if strategy != "ascii":
         raise ValueError(f"unknown transliteration {strategy!r}")
     single = {k: v for k, v in TRANSLITERATION.items() if len(v) == 1}
-    out = F.translate(text, "".join(single), "".join(single.values()))
-    for letter, letters in TRANSLITERATION.items():
-        if len(letters) > 1:
-            out = F.replace(out, F.lit(letter), F.lit(letters))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+
+    def written_out(text: Column) -> Column:
+        out = F.translate(text, "".join(single), "".join(single.values()))
+        for letter, letters in TRANSLITERATION.items():
+            if len(letters) > 1:
+                out = F.replace(out, F.lit(letter), F.lit(letters))
+        return F.when(F.octet_length(text) > F.length(text), out).otherwise(text)
+
+    return let(text, written_out)
 
 
 def clean(text: Column) -> Column:
@@ -80,10 +86,14 @@ def clean(text: Column) -> Column:
 def limit_length(text: Column, max_length: int | Column, reserve: int = 0) -> Column:
     """At most ``max_length - reserve`` characters (1 at least), cut at the last dash if that lies beyond 60 %."""
     most = F.greatest(F.lit(1), (F.lit(max_length) if isinstance(max_length, int) else max_length) - reserve)
-    cut = F.substring(text, F.lit(1), most)
-    dash = F.length(cut) - F.instr(F.reverse(cut), "-")  # characters before the last dash
-    at_dash = (F.instr(cut, "-") > 0) & (dash > most * 0.6)
-    return F.when(F.length(text) <= most, text).when(at_dash, F.substring(cut, F.lit(1), dash)).otherwise(cut)
+
+    def shorten(text: Column) -> Column:
+        cut = F.substring(text, F.lit(1), most)
+        dash = F.length(cut) - F.instr(F.reverse(cut), "-")  # characters before the last dash
+        at_dash = (F.instr(cut, "-") > 0) & (dash > most * 0.6)
+        return F.when(F.length(text) <= most, text).when(at_dash, F.substring(cut, F.lit(1), dash)).otherwise(cut)
+
+    return let(text, shorten)
 
 
 def slug_base(text: Column, max_length: int = MAX_SLUG, strategy="ascii", unicode: bool = True) -> Column:
@@ -106,7 +116,7 @@ def slug_error(text: Column, slug: Column, reserved: Sequence[str] = RESERVED_WO
 
 def generate_slug(text: Column, max_length: int = MAX_SLUG, reserved: Sequence[str] = RESERVED_WORDS, strategy="ascii", unicode: bool = True) -> Column:
     slug = slug_base(text, max_length, strategy, unicode)
-    return F.when(slug_error(text, slug, reserved).isNull(), slug)
+    return let(slug, lambda s: F.when(slug_error(text, s, reserved).isNull(), s))
 
 
 def slug_source(*parts: Column) -> Column:

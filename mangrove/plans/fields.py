@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binding import let
 from .values import column_number, compare, kind_of, literal, number_of
 
 def _all(parts: Sequence[Column]) -> Column:
@@ -56,7 +57,7 @@ class Absent:
     def type_is(self, name: Any) -> Column:
         return F.lit(name == "undefined")
 
-    def sort_keys(self) -> list[Column]:
+    def sort_keys(self, utf16: bool = False) -> list[Column]:
         return []
 
     def value(self) -> Column | None:
@@ -177,8 +178,10 @@ class Typed:
             parts.append(self.column.isNull() & self.present)
         return _any(parts)
 
-    def sort_keys(self) -> list[Column]:
-        return [self.column.isNotNull()] if self.kind in ("array", "object") else [self.column]
+    def sort_keys(self, utf16: bool = False) -> list[Column]:
+        if self.kind in ("array", "object"):
+            return [self.column.isNotNull()]
+        return [F.encode(self.column, "UTF-16BE") if utf16 and self.kind == "string" else self.column]
 
     def value(self) -> Column:
         return self.column
@@ -328,11 +331,20 @@ class Variant:
             return self.is_kind("object") | self.is_kind("null")
         return self.is_kind(name) if name in ("string", "number", "boolean", "array") else F.lit(False)
 
-    def sort_keys(self) -> list[Column]:
-        """Rank (null and missing 0, boolean 1, number 2, string 3, others 4), then the value of each kind."""
-        rank = F.when(self.get("variant").isNull() | self.is_kind("null"), 0).when(self.is_kind("boolean"), 1).when(self.is_kind("number"), 2).when(self.is_kind("string"), 3).otherwise(4)
-        of = lambda kind, cast: F.when(self.is_kind(kind), self._as(cast))
-        return [rank, of("boolean", "boolean"), of("number", "double"), of("string", "string")]
+    def sort_keys(self, utf16: bool = False) -> list[Column]:
+        """One struct: rank (null and missing 0, boolean 1, number 2, string 3, others 4), then the value of each
+        kind.  Structs compare field by field, so its order is theirs."""
+
+        def key(v: Column, tag: Column) -> Column:
+            of = lambda cast: F.try_variant_get(v, "$", cast)
+            number = tag.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | tag.startswith("DECIMAL")
+            text = F.when(tag == "STRING", of("string"))
+            rank = F.when(tag.isNull() | (tag == "VOID"), 0).when(tag == "BOOLEAN", 1).when(number, 2).when(tag == "STRING", 3).otherwise(4)
+            return F.struct(
+                rank.alias("rank"), F.when(tag == "BOOLEAN", of("boolean")).alias("boolean"), F.when(number, of("double")).alias("number"),
+                (F.encode(text, "UTF-16BE") if utf16 else text).alias("string"))
+
+        return [let(self.get("variant"), lambda v: let(F.schema_of_variant(v), lambda tag: key(v, tag)))]
 
     def value(self) -> Column:
         return self.get("variant")

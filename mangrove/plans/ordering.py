@@ -14,9 +14,7 @@ def order_keys(sort: Mapping[str, int] | None, resolver, type_column: Column | N
     Text sorts by code point; ``utf16`` sorts it by UTF-16 code unit instead."""
     keys: list[Column] = []
     for path, direction in (sort or {}).items():
-        parts = resolver.field(path).sort_keys()
-        if utf16 and parts:
-            parts = [*parts[:-1], F.encode(parts[-1].cast("string"), "UTF-16BE")] if len(parts) == 4 else parts
+        parts = resolver.field(path).sort_keys(utf16)
         keys += [p.asc_nulls_first() if direction == 1 else p.desc_nulls_last() for p in parts]
     if type_column is not None:
         keys.append(type_column.asc())
