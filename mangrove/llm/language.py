@@ -5,7 +5,7 @@ lower-case letters and single spaces, is compressed whole with every dictionary,
 that the dictionary matters to the end; the language of the smallest sum wins.  A narrow margin to the second
 smallest marks the document as rejected.
 
-Bounds, as parameters: SAMPLE_DOCS documents a language (smallest hashes of doc_id), SAMPLE_CHARS characters of
+Bounds, as parameters: SAMPLE_DOCS documents a language (smallest hashes of doc_id under a threshold), SAMPLE_CHARS characters of
 each, DICT_BYTES a dictionary.  Everything else sees all documents and whole texts.
 
 Cases: null text or no letter gives ``und`` with score 0, rejected; with one learned language only it is
@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import tidy
+from .common import attach, tidy, written
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 300, 2000, 110 << 10
 PIECE, LEVEL = 4096, 9
+#: Blanks behind each piece: without them a short one is stored raw, whatever the dictionary.
+FILL = b" " * 32
 #: A margin (second sum over smallest sum, less 1) under this is narrow.
 NARROW = 0.004
 SCORE_SCALE = 25.0
@@ -50,15 +52,21 @@ def training_rows(docs: DataFrame) -> Column:
 
 def learn_dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content by language, from a bounded sample of ``docs`` (doc_id, text, lang)."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = known.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).select("doc_id", "lang")
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("_n")), "language-counts")
+    # a hash threshold leaves about twice the sample of each language, whatever the size of the input; of these
+    # the smallest hashes are taken
+    slim = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    slim = attach(slim, counts, "lang", F.col("_h"), counts.count())
+    share = F.pmod("_h", F.lit(1 << 31)) / F.lit(float(1 << 31))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id"))
+    chosen = slim.where(share < 2.0 * SAMPLE_DOCS / F.col("_n")).withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_DOCS).select("doc_id", "lang")
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = sample.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # SAMPLE_DOCS a language
     texts: dict[str, list[str]] = {}
     for row in sorted(rows.select("lang", "doc_id", "text").distinct().collect(), key=lambda r: (r[0], str(r[1]), r[2])):
         texts.setdefault(row[0], []).append(fold(row[2]))
-    sizes = {r[0]: r[1] for r in known.where(F.col("lang").isin(list(texts))).groupBy("lang").count().collect()} if texts else {}
+    sizes = {r[0]: r[1] for r in counts.where(F.col("lang").isin(list(texts))).collect()} if texts else {}
     order = sorted((lang for lang, parts in texts.items() if any(parts)), key=lambda lang: (-sizes.get(lang, 0), lang))
     return {lang: " ".join(texts[lang]).encode()[:DICT_BYTES] for lang in order}
 
@@ -79,7 +87,7 @@ class Classifier:
             return "und", 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        pieces = [data[i : i + PIECE] + FILL for i in range(0, len(data), PIECE)]
         sizes = [(sum(len(c.compress(p)) for p in pieces), k) for k, c in enumerate(self.coders)]
         (best, k), (second, _) = sorted(sizes)[:2]
         margin = second / best - 1
