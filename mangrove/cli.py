@@ -85,7 +85,7 @@ def _rm(args, root, say):
         if not sys.stdin.isatty():
             raise ValidationError("use --force to confirm removal")
         if input(f"Remove {args.type}/{args.id}? (y/N) ").strip().lower() != "y":
-            raise Exit("Aborted by user")
+            raise Exit("not confirmed")
     sinks.remove(root, args.type, args.id)
     if args.git_commit:
         sinks.git_commit(root, f"{args.type}/{args.id}.json", args.git_commit)
@@ -123,9 +123,9 @@ def _format(args, root, say):
         print(bad, file=sys.stderr)
     n = done["count"]
     if args.check and n:
-        say(f"✗ {n} document(s) need formatting")
-        raise Exit("Formatting check failed")
-    say("✓ All documents are properly formatted" if args.check else f"✓ Formatted {n} document(s)" if n else "✓ All documents already canonical")
+        say(f"{n} documents are not in canonical form")
+        raise Exit("some documents need formatting")
+    say(f"{n} documents rewritten" if n else "all documents are in canonical form")
     if done["errors"]:
         raise Exit(f"{len(done['errors'])} document(s) could not be read")
 
@@ -158,7 +158,7 @@ def _reindex(args, root, say):
     if args.json:
         print(json.dumps(totals | {"fields": [asdict(s) for s in done]}))
         return
-    say(f"✓ Rebuilt {len(done)} index(es) across {len(totals['types'])} type(s)" if done else "✓ No indexes to rebuild")
+    say(f"{len(done)} indexes of {len(totals['types'])} types rebuilt" if done else "no indexes to rebuild")
     for s in done:
         say(f"  {s.type}.{s.field}: {s.keys} keys, {s.docs_scanned} documents, {bytes_text(s.bytes)}")
 

@@ -19,16 +19,29 @@ from ..operators.mutations import sidecars
 RAW = "type string, id string, raw string, path string, bytes long, modified timestamp"
 
 
-def list_types(root: str) -> list[str]:
-    """Type folders in order; hidden ones, links and names that cannot be types are skipped."""
-    base = Path(root)
+def _listed(folder: str) -> list[tuple[str, bool]]:
+    """(name, is a folder) of what a folder holds, in order; links are left out, an absent folder holds nothing.
+    Folders with a scheme (``hdfs://...``) are listed by Spark's file systems, others locally."""
+    if "://" in folder:
+        context = SparkSession.active().sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(context._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            return []
+        return sorted((s.getPath().getName(), s.isDirectory()) for s in files.listStatus(where) if not s.isSymlink())
+    base = Path(folder)
     if not base.is_dir():
         return []
+    return sorted((p.name, p.is_dir()) for p in base.iterdir() if not p.is_symlink())
+
+
+def list_types(root: str) -> list[str]:
+    """Type folders in order; hidden ones, links and names that cannot be types are skipped."""
     out = []
-    for p in sorted(base.iterdir(), key=lambda p: p.name):
-        if p.is_dir() and not p.is_symlink() and not p.name.startswith(("_", ".")):
+    for name, folder in _listed(root):
+        if folder and not name.startswith(("_", ".")):
             try:
-                out.append(validate_type_name(p.name))
+                out.append(validate_type_name(name))
             except ValueError:
                 continue
     return out
@@ -36,10 +49,7 @@ def list_types(root: str) -> list[str]:
 
 def list_files(folder: str, extension: str | None = None) -> list[str]:
     """Names of regular files in order; links are skipped and an absent folder is empty."""
-    base = Path(folder)
-    if not base.is_dir():
-        return []
-    return sorted(p.name for p in base.iterdir() if p.is_file() and not p.is_symlink() and (extension is None or p.name.endswith(extension)))
+    return [name for name, is_folder in _listed(folder) if not is_folder and (extension is None or name.endswith(extension))]
 
 
 def list_ids(root: str, type_: str) -> list[str]:
@@ -99,10 +109,11 @@ def read_text(path: str) -> str:
 
 def markdown_files(spark: SparkSession, root: str, type_: str) -> DataFrame:
     """(type, id, path, content) of the side files of a type."""
-    folders = [p for p in sorted((Path(root) / type_).iterdir()) if p.is_dir() and not p.name.startswith(("_", "."))] if (Path(root) / type_).is_dir() else []
-    if not any(f.glob("*.md") for f in folders):
+    folders = [f"{root}/{type_}/{name}" for name, is_folder in _listed(f"{root}/{type_}") if is_folder and not name.startswith(("_", "."))]
+    folders = [f for f in folders if list_files(f, ".md")]
+    if not folders:
         return spark.createDataFrame([], "type string, id string, path string, content string")
-    rows = spark.read.text([f"{f}/*.md" for f in folders if any(f.glob("*.md"))], wholetext=True)
+    rows = spark.read.text([f"{f}/*.md" for f in folders], wholetext=True)
     parts = F.split(F.url_decode(F.col("_metadata.file_path")), "/")
     return rows.select(F.element_at(parts, -3).alias("type"), F.element_at(parts, -2).alias("id"), F.element_at(parts, -1).alias("path"), F.col("value").alias("content"))
 

@@ -30,6 +30,12 @@ def test_read(spark, root):
     assert json_store.read_documents(spark, root + "/none").count() == 0
 
 
+def test_remote_root(spark, root):
+    remote = f"file://{root}"
+    assert json_store.list_types(remote) == ["note", "task"] and json_store.list_ids(remote, "task") == ["1", "2", "3"]
+    assert json_store.catalog(spark, remote).query({"filter": {"status": "open"}}).count() == 3 and json_store.list_files(remote + "/none") == []
+
+
 def test_malformed(spark, root, tmp_path):
     (tmp_path / "task" / "9.json").write_text("{oops")
     with pytest.raises(Exception):  # noqa: B017 - Spark's own error
