@@ -168,7 +168,7 @@ class PairIndexBPE:
         return out
 
 
-_coder: dict[int, PairIndexBPE] = {}
+_coder: dict[str, PairIndexBPE] = {}
 
 
 def _chunks(batches):
@@ -186,11 +186,13 @@ def _chunks(batches):
             yield ids.slice(start, at - start), part
 
 
-def _encoder(vocab, digest: bool, with_ids: bool):
+def _encoder(vocab, name: str, digest: bool, with_ids: bool):
     @tidy
     def run(batches):
-        coder = _coder.setdefault(0, None) or PairIndexBPE(vocab.value)
-        _coder[0] = coder
+        if name not in _coder:  # one vocabulary at a time stays in a worker
+            _coder.clear()
+            _coder[name] = PairIndexBPE(vocab.value)
+        coder = _coder[name]
         for ids, texts in _chunks(batches):
             done = coder.run(texts)
             n = pa.array([s.count(",") + 1 if s else 0 for s, _ in done], pa.int64())
@@ -212,9 +214,10 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, digest: boo
     """doc_id, n_tokens, decoded, ids array<int> of every document; with ``digest`` the SHA-256 of the ids joined
     by commas and of the decoded text stand in for the decoded text."""
     with open(vocab_path or default_vocab(), "rb") as file:
-        vocab = docs.sparkSession.sparkContext.broadcast(file.read())
+        raw = file.read()
+    vocab, name = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
     out = ("ids_sha256 string, decoded_sha256 string" if digest else "decoded string") + ", ids array<int>" * with_ids
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(vocab, digest, with_ids), f"doc_id long, n_tokens long, {out}")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(vocab, name, digest, with_ids), f"doc_id long, n_tokens long, {out}")
 
 
 def op6_query(docs: DataFrame) -> DataFrame:

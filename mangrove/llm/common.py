@@ -45,6 +45,12 @@ def _forget(spark: SparkSession, app: str) -> None:
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that ``written`` made in this application.  DataFrames that read them end with them;
+    long sessions call it between jobs, others leave it to the end of the driver."""
+    _forget(spark, spark.sparkContext.applicationId)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, and lost
     executors cost no recomputation.  The files go when the driver ends."""
