@@ -82,11 +82,12 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected) of one text."""
-        data = fold(text).encode()
-        if not data or not self.langs:
+        folded = fold(text)
+        if not self.langs or not any(map(str.isalpha, folded)):  # numerals such as ½ are no letters
             return "und", 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
+        data = folded.encode()
         pieces = [data[i : i + PIECE] + FILL for i in range(0, len(data), PIECE)]
         sizes = [(sum(len(c.compress(p)) for p in pieces), k) for k, c in enumerate(self.coders)]
         (best, k), (second, _) = sorted(sizes)[:2]

@@ -307,6 +307,12 @@ def test_language_holds_out(spark):
     assert {r.lang_pred for r in language.op8_query(shuffled).collect()} == {r.lang_pred for r in rows.values()}
 
 
+def test_language_letters():
+    c = language.Classifier({"en": b"the cat sat on the mat", "de": b"die katze sass auf der matte"})
+    assert [c.classify(t)[0] for t in (None, "", "12 ½ ² _", "the cat", "die katze auf")] == ["und", "und", "und", "en", "de"]
+    assert language.Classifier({}).classify("x") == ("und", 0.0, True) and language.Classifier({"en": b"x"}).classify("y") == ("en", 1.0, False)
+
+
 def test_language_odd(odd):
     got = {(r.doc_id, r.lang_pred) for r in language.op8_query(odd).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (None, "und")} <= got and (4, "en") in got
