@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     groups = connected_components(link_fingerprints(distinct.select("fp"), radius))
     named = distinct.join(groups, distinct["fp"] == groups["node"], "left")
-    named = named.select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(named.select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-groups")
     names = named.join(least, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
