@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import ValidationError
 from ..functions.names import validate_name
-from ..plans.fields import Absent, Typed, Variant
+from ..plans.fields import Absent, Variant
 from ..plans.values import kind_of
 from .collections import Collection
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def order_keys(sort: Mapping[str, int] | None, resolver, type_column: Column | None = None, utf16: bool = False) -> list[Column]:
