@@ -98,6 +98,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt to all cores where its files give fewer partitions than there are cores (a table in one
+    small file); a scan of more partitions is left alone, so no large table is shuffled for this."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a like name that ``df`` has no column of."""
     taken = {c.lower() for c in df.columns}
