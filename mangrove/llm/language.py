@@ -10,8 +10,8 @@ each, DICT_BYTES a dictionary.  Everything else sees all documents and whole tex
 
 Cases: null text or no letter gives ``und`` with score 0, rejected; with one learned language only it is
 predicted with score 1; with none learned all are ``und``; equal sums go to the language with more
-learned documents, then to the first by name; extra
-columns are kept by ``identify`` and an empty table gives an empty result.
+learned documents, then to the first by name; rows without doc_id are
+neither learned from nor held out; extra columns are kept by ``identify`` and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,5 +136,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, colu
 
 def op8_query(docs: DataFrame) -> DataFrame:
     out = identify(docs.select("doc_id", "text", "lang"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(~training_rows(docs), F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"), F.col("_language.rejected").alias("rejected"))

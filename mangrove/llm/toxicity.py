@@ -11,7 +11,8 @@ entries in at least MIN_DF of its toxic documents, at most MAX_ENTRIES and MAX_E
 size is so bounded and it is broadcast; scoring sees every whole text.
 
 Cases: null or empty text is scored as one without hits; without labels of both kinds every score is the share
-of toxic labels (0 without labels); a doc_id labelled twice counts as toxic if once toxic; an empty table gives
+of toxic labels (0 without labels); a doc_id labelled twice counts as toxic if once toxic; rows
+without doc_id are neither learned from nor held out; an empty table gives
 an empty result; extra columns are kept by ``score_documents``.
 """
 
@@ -264,4 +265,5 @@ def score_documents(docs: DataFrame, model: Model, column: str = "_toxicity") ->
 def op7_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score_documents(docs.select("doc_id", "text"), learn(docs, labels.select("doc_id", "toxic")), "score")
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int")
-    return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", predicted.alias("predicted"))
+    held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
