@@ -30,7 +30,9 @@ from .common import tidy
 
 #: Fixed by the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK, CACHE_WORDS = 2_000_000, 100_000
+CHUNK, CACHE_WORDS = 3_000_000, 300_000
+#: Lists of positions up to this length are entered one by one.
+SHORT = 12
 
 
 def default_vocab() -> str:
@@ -58,11 +60,10 @@ class PairIndexBPE:
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.byte_id = np.array([vocab[c] for c in letters], dtype=np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
-        self.right = np.array([vocab[b] for _, b in merges], dtype=np.int64)
-        self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        self.triples = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self.base = max(max(self.bytes_of), len(vocab)) + 1
-        keys = self.left * self.base + self.right
+        keys = np.array([a * self.base + b for a, b, _ in self.triples], dtype=np.int64)
+        self.rank_of = {k: r for r, k in enumerate(keys.tolist())}
         self.by_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.by_key]
         self.words = regex.compile(PATTERN)
@@ -85,8 +86,20 @@ class PairIndexBPE:
         before = np.arange(-1, len(sym) - 1)
         after[ends - 1] = -1
         before[ends - n] = -1
-        index: dict[int, list[np.ndarray]] = {}
+        self._merge(sym, after, before)
+        alive = sym >= 0
+        counts = np.add.reduceat(alive, ends - n) if len(n) else n
+        return np.split(sym[alive], np.cumsum(counts)[:-1])
+
+    def _merge(self, sym: np.ndarray, after: np.ndarray, before: np.ndarray) -> None:
+        """Applies the active ranks in ascending order until none is left.
+
+        Long lists of positions are handled as arrays; the many short ones, for which an array call costs more
+        than the work, element by element on views of the same arrays."""
+        index: dict[int, list[int]] = {}
+        long: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
+        at_sym, at_after, at_before, base, rank_of = memoryview(sym), memoryview(after), memoryview(before), self.base, self.rank_of
 
         def enter(places: np.ndarray) -> None:
             ranks = self._ranks(sym[places], sym[after[places]])
@@ -100,16 +113,45 @@ class PairIndexBPE:
                 if r not in index:
                     index[r] = []
                     heapq.heappush(heap, r)
-                index[r].append(part)
+                if len(part) > SHORT:
+                    long.setdefault(r, []).append(part)
+                else:
+                    index[r] += part.tolist()
+
+        def enter_one(p: int) -> None:
+            r = rank_of.get(at_sym[p] * base + at_sym[at_after[p]])
+            if r is None:
+                return
+            if r in index:
+                index[r].append(p)
+            else:
+                index[r] = [p]
+                heapq.heappush(heap, r)
 
         enter(np.flatnonzero(after >= 0))
         while heap:
             r = heapq.heappop(heap)
-            lists = index.pop(r)
-            at = np.unique(np.concatenate(lists))
-            at = at[(sym[at] == self.left[r]) & (after[at] >= 0)]
-            at = at[sym[after[at]] == self.right[r]]
-            if self.left[r] == self.right[r] and len(at) > 1:  # runs: from the left, without overlap
+            places, lists = index.pop(r), long.pop(r, None)
+            left, right, made = self.triples[r]
+            if lists is None and len(places) <= 4 * SHORT:
+                for p in sorted(set(places)):
+                    if at_sym[p] != left:
+                        continue
+                    q = at_after[p]
+                    if q < 0 or at_sym[q] != right:
+                        continue
+                    beyond = at_after[q]
+                    at_sym[p], at_sym[q], at_after[p] = made, -1, beyond
+                    if at_before[p] >= 0:
+                        enter_one(at_before[p])
+                    if beyond >= 0:
+                        at_before[beyond] = p
+                        enter_one(p)
+                continue
+            at = np.unique(np.concatenate([*(lists or ()), np.array(places, dtype=np.int64)]))
+            at = at[(sym[at] == left) & (after[at] >= 0)]
+            at = at[sym[after[at]] == right]
+            if left == right and len(at) > 1:  # runs: from the left, without overlap
                 taken, free = [], -1
                 for p, q in zip(at.tolist(), after[at].tolist()):
                     if p != free:
@@ -122,15 +164,12 @@ class PairIndexBPE:
                 continue
             gone = after[at]
             beyond = after[gone]
-            sym[at], sym[gone] = self.made[r], -1
+            sym[at], sym[gone] = made, -1
             after[at] = beyond
             inner = beyond >= 0
             before[beyond[inner]] = at[inner]
             back = before[at]
             enter(np.concatenate([back[back >= 0], at[inner]]))
-        alive = sym >= 0
-        counts = np.add.reduceat(alive, ends - n) if len(n) else n
-        return np.split(sym[alive], np.cumsum(counts)[:-1])
 
     def learn(self, words: set[str]) -> None:
         """Caches the ids (as text) and the decoded bytes of words that are not cached yet."""
