@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mangrove.llm import bpe, exact_dedup, language, licenses, line_dedup, media, mixing, queries, sharding, simhash, toxicity
+from mangrove.llm import bpe, exact_dedup, language, licenses, line_dedup, media, mixing, queries, sharding, shingles, simhash, toxicity
 from mangrove.llm.components import connected_components
 from tests.conftest import SMALL, same_rows
 from tests.llm.conftest import ODD
@@ -511,3 +511,39 @@ def test_pipeline_odd_and_empty(spark, odd, empty):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
+
+
+def jaccard_pairs(texts):
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    inverted = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            inverted.setdefault(x, []).append(i)
+    met = Counter((a, b) for v in inverted.values() for k, b in enumerate(v) for a in v[:k])
+    return {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in met.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_near_duplicates_by_similarity(spark, make):
+    """Near copies at a similarity of just over 0.8 go, those just under it stay."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60 + 20 * i)]
+        copy = list(words)
+        for at in range(7, len(words) - 5, 48 + i % 12 if i % 4 else 25):
+            copy[at] = "changed"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(copy))]
+    pairs = jaccard_pairs([t for _, t in rows])
+    assert 20 <= len(pairs) < 40
+    stay = corpus_pipeline.without_near_duplicates(spark, make(rows), SMALL)
+    gone = {rows[b][0] for _, b in pairs}
+    assert sorted(r.doc_id for r in stay.collect()) == sorted({i for i, _ in rows} - gone)
+
+
+def test_near_duplicates_cut_large_groups(make, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(60)] + [(100 + i, f"text {i} of its own kind {i * i}") for i in range(20)]
+    monkeypatch.setattr(shingles, "GROUP_SETS", 8)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(make(rows)).collect()}
+    assert got == {i: 0 if i < 60 else i for i, _ in rows}
