@@ -448,6 +448,12 @@ def test_line_dedup(make, monkeypatch, group):
     assert got == brute_lines(rows)
 
 
+def test_short_repeated_lines_go(make):
+    rows = [(1, "All rights reserved.\n\nown line\n  \n}"), (2, "All rights reserved.\n\nown lime\n  \n}"), (3, "x\nx\nAll rights reserved.")]
+    got = {r._row.doc_id: r.text for r in line_dedup.drop_repeated_lines(make(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\nown lime\n  ", 3: "x"}
+
+
 # odd and empty tables, and the pipeline
 
 
