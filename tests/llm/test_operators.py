@@ -454,6 +454,29 @@ def test_short_repeated_lines_go(make):
     assert got == {1: rows[0][1], 2: "\nown lime\n  ", 3: "x"}
 
 
+def test_edits_grow_with_lines(make):
+    rng = np.random.default_rng(12)
+    rows, same = [], set()
+    for i in range(30):
+        line = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(8 + 6 * i))
+        words = line.split()
+        words[len(words) // 2] = "qrstuv"
+        rows += [(i, line), (100 + i, " ".join(words))]
+        if edits(line, rows[-1][1]) <= max(2, len(line) // 20):
+            same.add(100 + i)
+    assert 20 < len(same) < 30
+    assert {r._row.doc_id for r in line_dedup.drop_repeated_lines(make(rows)).where("gone IS NOT NULL").collect()} == same
+
+
+def test_many_edits():
+    rng = np.random.default_rng(13)
+    for _ in range(500):
+        a = "".join(rng.choice(list("ab"), int(rng.integers(11, 25))))
+        b = changed(rng, a, int(rng.integers(0, 9)))
+        for e in range(9):
+            assert line_dedup.within_many(a, b, e) == (edits(a, b) <= e), (a, b, e)
+
+
 # odd and empty tables, and the pipeline
 
 
