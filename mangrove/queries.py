@@ -341,9 +341,7 @@ def slug_conflicts(spark, folder):
     return indexes.slug_conflicts(rows)
 
 
-@register("slug_resolve", "SELECT CAST(c_custkey AS VARCHAR) AS id, lower(replace(c_name, '#', '-')) AS slug FROM customer WHERE c_custkey <= 50 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'old-' || c_custkey FROM customer WHERE c_custkey <= 50 UNION ALL SELECT NULL, 'nobody'")
-def slug_resolve(spark, folder):
-    people = table(spark, folder, "customer").where("c_custkey <= 50")
+def _resolved(spark, people: DataFrame) -> DataFrame:
     own = lambda slug, name: people.select(F.lit("customer").alias("type"), F.lit("").alias("scope"), slug.alias(name), F.col("c_custkey").cast("string").alias("id"))
     slugs, aliases = own(F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), "slug"), own(F.concat(F.lit("old-"), F.col("c_custkey").cast("string")), "alias")
     nobody = spark.range(1).select(F.lit("customer").alias("type"), F.lit("").alias("scope"), F.lit("nobody").alias("slug"))
@@ -351,6 +349,16 @@ def slug_resolve(spark, folder):
     return indexes.resolve_slugs(wanted, slugs, aliases).select("id", "slug")
 
 
+@register("slug_resolve", "SELECT CAST(c_custkey AS VARCHAR) AS id, lower(replace(c_name, '#', '-')) AS slug FROM customer WHERE c_custkey <= 50 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'old-' || c_custkey FROM customer WHERE c_custkey <= 50 UNION ALL SELECT NULL, 'nobody'")
+def slug_resolve(spark, folder):
+    return _resolved(spark, table(spark, folder, "customer").where("c_custkey <= 50"))
+
+
+@register("slug_resolve_all", "SELECT CAST(c_custkey AS VARCHAR) AS id, lower(replace(c_name, '#', '-')) AS slug FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'old-' || c_custkey FROM customer UNION ALL SELECT NULL, 'nobody'")
+def slug_resolve_all(spark, folder):
+    return _resolved(spark, table(spark, folder, "customer"))
+
+
 def _nodes(spark, folder) -> DataFrame:
     """Regions and nations with materialized paths."""
     slug = lambda c: slug_base(F.col(c), unicode=False).alias("slug")
@@ -482,13 +490,21 @@ def sidecar_join(spark, folder):
     return mutations.sidecars(fields, docs.where("doc_id % 3 <> 0").select(*key, changed.alias("content"))).select("doc_id", "error")
 
 
-@register("slug_claims", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 2 = 0 AS ok FROM customer WHERE c_custkey < 100")
-def slug_claims(spark, folder):
-    people = table(spark, folder, "customer").where("c_custkey < 100")
+def _claims(people: DataFrame) -> DataFrame:
     own = lambda df: df.select(F.lit("customer").alias("type"), F.lit("").alias("scope"), F.concat(F.lit("c-"), (F.col("c_custkey") - F.col("c_custkey") % 2).cast("string")).alias("slug"), F.col("c_custkey").cast("string").alias("id"))
     return indexes.claim_slugs(own(people.where("c_custkey % 2 = 0")), own(people)).select("id", "ok")
 
 
+@register("slug_claims", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 2 = 0 AS ok FROM customer WHERE c_custkey < 100")
+def slug_claims(spark, folder):
+    return _claims(table(spark, folder, "customer").where("c_custkey < 100"))
+
+
+@register("slug_claims_all", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 2 = 0 AS ok FROM customer")
+def slug_claims_all(spark, folder):
+    return _claims(table(spark, folder, "customer"))
+
+
 # mutations
 
 
