@@ -256,6 +256,12 @@ def index_key_encoding(spark, folder):
     return keys.where(~F.col("key").startswith("__num")).select(F.col("key").alias("k"), "n")
 
 
+@register("index_key_encoding_all", """SELECT k, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN CASE WHEN value = floor(value) THEN '__num__' || CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE '__num__' || CAST(value AS VARCHAR) END
+WHEN 1 THEN event_type WHEN 2 THEN CASE WHEN event_id % 2 = 1 THEN '__bool__true' ELSE '__bool__false' END ELSE '__null__' END AS k FROM events WHERE event_id % 5 <> 3) GROUP BY k""")
+def index_key_encoding_all(spark, folder):
+    return indexes.key_counts(indexes.build_index(_mixed(spark, folder), "v")).select(F.col("key").alias("k"), "n")
+
+
 @register("index_number_keys", "SELECT '__num__' || CAST(p_size AS VARCHAR) AS k, count(*) AS n FROM part GROUP BY 1")
 def index_number_keys(spark, folder):
     return indexes.key_counts(indexes.build_index(collection(spark, folder, "part"), "p_size")).select(F.col("key").alias("k"), "n")
@@ -440,6 +446,11 @@ def byte_sizes(spark, folder):
     return rows.select("doc_id", format_bytes(F.octet_length("text")).alias("size"))
 
 
+@register("format_bytes_all", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' Bytes' WHEN strlen(text) < 1048576 THEN regexp_replace(CAST(round(strlen(text) / 1024::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' KB' WHEN strlen(text) < 1073741824 THEN regexp_replace(CAST(round(strlen(text) / 1048576::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' MB' ELSE regexp_replace(CAST(round(strlen(text) / 1073741824::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' GB' END AS size FROM documents")
+def byte_sizes_all(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", format_bytes(F.octet_length("text")).alias("size"))
+
+
 @register("name_check", "SELECT p_partkey, false AS spaced, true AS dashed FROM part")
 def name_check(spark, folder):
     return table(spark, folder, "part").select("p_partkey", is_name(F.col("p_name")).alias("spaced"), is_name(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("dashed"))
