@@ -417,23 +417,31 @@ def test_probes_meet_segments():
 
 
 def brute_lines(rows):
-    """Lines that stay by document, the first of each class by (doc_id, line number)."""
-    places = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= line_dedup.MIN_CHARS]
-    lines = sorted({p[2] for p in places})
+    """(doc_id, text) -> text without repeated lines, the first of each class by (doc_id, text hash, line number)."""
+    places = sorted({(i is not None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), k, line, t) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if line.strip()})
+    lines = sorted({p[4] for p in places}, key=len)
     links = Union(len(lines))
-    for i in range(len(lines)):
-        for j in range(i):
-            if abs(len(lines[i]) - len(lines[j])) <= 2 and edits(lines[i], lines[j]) <= 2:
+    for i, a in enumerate(lines):
+        most = max(2, len(a) // 20)
+        for j in range(i + 1, len(lines)):
+            if len(a) >= 40 and len(lines[j]) - len(a) <= most and edits(a, lines[j]) <= most:
                 links.join(i, j)
     root = {line: links.top(i) for i, line in enumerate(lines)}
-    first = {}
-    for i, k, line in sorted(places, key=lambda p: p[:2]):
-        first.setdefault(root[line], (i, k))
-    return {i: None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if len(line) < line_dedup.MIN_CHARS or first[root[line]] == (i, k)) for i, t in rows}
+    first, out = {}, {(i, t): [] for i, t in rows if t is not None}
+    for known, i, h, k, line, t in places:
+        first.setdefault(root[line], (known, i, h, k))
+    for i, t in out:
+        h = signed(xxhash.xxh64_intdigest(t.encode(), 42))
+        out[i, t] = "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip() or first[root[x]] == (i is not None, i or 0, h, k))
+    return out
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
 
 
 @pytest.mark.parametrize("group", [256, 4])
-def test_line_dedup(make, monkeypatch, group):
+def test_line_dedup(make, group):
     rng = np.random.default_rng(6)
     words = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta"]
     base = [" ".join(rng.choice(words, 10)) for _ in range(12)]
@@ -441,11 +449,52 @@ def test_line_dedup(make, monkeypatch, group):
     for i in range(60):
         lines = [changed(rng, base[int(rng.integers(0, 12))], int(rng.integers(0, 3))) for _ in range(3)] + ["short", f"a line of its own that stands in document number {i * 977} only"]
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n")]
-    monkeypatch.setattr(line_dedup, "GROUP_LINES", group)
-    monkeypatch.setattr(line_dedup.like_lines, "__defaults__", (2, group))
-    got = {r._row.doc_id: r.text for r in line_dedup.drop_repeated_lines(make(rows)).collect()}
-    assert got == brute_lines(rows)
+    rows += [(100, None), (101, ""), (102, "\n\n"), (7, "short\nnew one\n" + base[0]), (7, "another\nnew one\nshort"), (None, "another\nof nobody\nshort"), (None, "of nobody\nonly here"), (None, None), (101, "")]
+    got = line_dedup.drop_repeated_lines(make(rows), group_lines=group).collect()
+    want = brute_lines(rows)
+    assert Counter((r._row.doc_id, r._row.text, r.text) for r in got) == Counter((i, t, None if t is None else want[i, t]) for i, t in rows)
+
+
+def test_line_dedup_loses_no_line_of_a_repeated_id(make):
+    rows = [(7, "X\nY"), (7, "Z\nX"), (None, "X\nV"), (None, "W\nU")]
+    left = [line for r in line_dedup.drop_repeated_lines(make(rows)).collect() for line in r.text.split("\n")]
+    assert sorted(left) == ["U", "V", "W", "X", "Y", "Z"]
+
+
+def test_line_dedup_parts_large_groups(make, spark, monkeypatch):
+    """Lines that share an opening are parted by further keys: few rows a line, and no like pair is lost."""
+    rng = np.random.default_rng(14)
+    opening = "this opening stands before every line of the table and is long "
+    lines = sorted({opening + "".join(rng.choice(list("abcdefghij"), 30)) for _ in range(3000)})
+    pairs = [(x, opening + changed(rng, x[len(opening) :], 2)) for x in lines[:300]]
+    docs = make([(i, x) for i, x in enumerate([*lines, *(y for _, y in pairs)])])
+    rows, kept = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (out := kept(df, name), rows.append(out.count()) if name in ("line-parted", "line-groups") else None)[0])
+    edges = line_dedup.like_lines(docs, n_lines=len(lines)).collect()
+    assert rows and max(rows) <= 60 * len(lines)
+    hashed = {signed(xxhash.xxh64_intdigest(x.encode(), 42)): x for p in [*pairs, *zip(lines, lines)] for x in p}
+    assert all(edits(hashed[a], hashed[b]) <= 4 for a, b in edges)
+    tops = {x: x for x in hashed.values()}
+
+    def top(x):
+        while tops[x] != x:
+            x = tops[x]
+        return x
+
+    for a, b in edges:
+        tops[top(hashed[a])] = top(hashed[b])
+    assert all(top(x) == top(y) for x, y in pairs)
+
+
+def test_line_keys():
+    """Keys made from arrays are those of the substrings, and the same in any company."""
+    lines = ["".join(np.random.default_rng(i).choice(list("abcdé"), 40 + 7 * i)) for i in range(20)]
+    keys, line, row = line_dedup.line_keys(lines)
+    for i, x in enumerate(lines):
+        alone = line_dedup.line_keys([x])
+        assert keys[line == i].tolist() == alone[0].tolist() and row[line == i].tolist() == alone[2].tolist()
+    twice = line_dedup.line_keys([lines[12], lines[12][:-1] + "z"])[0].reshape(-1)
+    assert len(np.unique(twice)) < len(twice)
 
 
 def test_short_repeated_lines_go(make):
@@ -501,29 +550,33 @@ def test_pipeline_stages(spark, small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, no in judged.items() if not no) and kept.count() >= 0.97 * small.count()
     lines = stages["lines"](spark, kept, SMALL)
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    want = {i: t for i, t in exact_lines(rows).items() if t.strip()}
     got = {r.doc_id: r.text for r in lines.collect()}
-    assert lines.columns == small.columns and got.keys() <= want.keys() and len(got) >= 0.98 * len(want)
-    assert all(len(got.get(i, "")) <= len(t) for i, t in rows) and sum(got[i] == want[i] for i in got) >= 0.95 * len(got)
+    places = {r._row.doc_id: (r.gone, r.near) for r in line_dedup.drop_repeated_lines(kept).collect()}
+    want = exact_lines(rows, {i: set(gone or ()) for i, (gone, near) in places.items() if near})
+    assert lines.columns == small.columns and got == {i: t for i, t in want.items() if t.strip() or not places[i][0]}
     near = stages["near_duplicates"](spark, lines, SMALL)
-    groups = brute_groups([(r.doc_id, r.text) for r in lines.collect()])
-    assert sorted(str(r.doc_id) for r in near.collect()) == sorted({g[2] for g in groups})
+    rows = sorted((r.doc_id, r.text) for r in lines.collect())
+    links = Union(len(rows))
+    for a, b in jaccard_pairs([t for _, t in rows]):
+        links.join(a, b)
+    assert sorted(r.doc_id for r in near.collect()) == sorted({rows[links.top(i)][0] for i in range(len(rows))})
     mixed = stages["mixing"](spark, near, SMALL)
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in mixing.plan_mix(near).collect() if r.copies})
     done = stages["tokens"](spark, mixed, SMALL)
     assert done.count() == mixed.count() and done.where("size(ids) <> n_tokens").isEmpty()
 
 
-def exact_lines(rows):
-    """Line dedup of equal lines only."""
+def exact_lines(rows, near):
+    """Line dedup of equal lines, and of the lines that ``near`` says of documents with near lines."""
     seen, out = set(), {}
     for i, t in sorted(rows):
         kept = []
-        for line in t.split("\n"):
-            if len(line) >= line_dedup.MIN_CHARS:
-                if line in seen:
-                    continue
+        for k, line in enumerate(t.split("\n")):
+            if line.strip():
+                goes = line in seen or k in near.get(i, ())
                 seen.add(line)
+                if goes:
+                    continue
             kept.append(line)
         out[i] = "\n".join(kept)
     return out
