@@ -524,6 +524,12 @@ def test_many_edits():
         b = changed(rng, a, int(rng.integers(0, 9)))
         for e in range(9):
             assert line_dedup.within_many(a, b, e) == (edits(a, b) <= e), (a, b, e)
+    for _ in range(300):
+        a = "".join(rng.choice(list("abc"), int(rng.integers(20, 70))))
+        b = changed(rng, a, int(rng.integers(5, 40))) if rng.integers(0, 4) else "".join(rng.choice(list("abc"), int(rng.integers(20, 70))))
+        d = edits(a, b)
+        for e in range(max(1, d - 3), d + 4):
+            assert line_dedup.within_many(a, b, e) == (d <= e), (a, b, e)
 
 
 # odd and empty tables, and the pipeline
