@@ -522,14 +522,25 @@ def test_many_edits():
     for _ in range(500):
         a = "".join(rng.choice(list("ab"), int(rng.integers(11, 25))))
         b = changed(rng, a, int(rng.integers(0, 9)))
-        for e in range(9):
+        for e in range(1, 9):
             assert line_dedup.within_many(a, b, e) == (edits(a, b) <= e), (a, b, e)
+    asked, want = [], []
     for _ in range(300):
         a = "".join(rng.choice(list("abc"), int(rng.integers(20, 70))))
         b = changed(rng, a, int(rng.integers(5, 40))) if rng.integers(0, 4) else "".join(rng.choice(list("abc"), int(rng.integers(20, 70))))
         d = edits(a, b)
         for e in range(max(1, d - 3), d + 4):
             assert line_dedup.within_many(a, b, e) == (d <= e), (a, b, e)
+            asked.append((a, b, e))
+            want.append(d <= e)
+    for _ in range(60):
+        a = "".join(rng.choice(list("abcdefgh é漢"), int(rng.integers(150, 400))))
+        b = changed(rng, a, int(rng.integers(20, 130)))
+        d = edits(a, b)
+        for e in {d - 1, d, d + 1, 31, 32, 63, 64, 95, 96}:
+            asked.append((a, b, e))
+            want.append(d <= e)
+    assert line_dedup.all_within(asked).tolist() == want
 
 
 # odd and empty tables, and the pipeline
@@ -628,6 +639,15 @@ def test_near_duplicates_by_similarity(spark, make):
     assert sorted(r.doc_id for r in stay.collect()) == sorted({i for i, _ in rows} - gone)
 
 
+def test_near_duplicates_on_repeated_ids(spark, make):
+    """(doc_id, text) pairs are judged by themselves, with and without doc_id."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (7, text(1)), (7, text(2)), (7, text(3)), (7, text(3)), (None, text(4)), (None, text(4)), (None, text(5)), (9, text(5)), (8, None), (8, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, make(rows), SMALL).collect()]
+    assert sorted((str(i), t) for i, t in got if i != 8) == sorted([("1", text(1)), ("7", text(2)), ("7", text(3)), ("None", text(4)), ("9", text(5))])
+    assert sum(i == 8 for i, _ in got) == 1
+
+
 def test_near_duplicates_cut_large_groups(make, monkeypatch):
     rng = np.random.default_rng(9)
     base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
