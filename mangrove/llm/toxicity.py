@@ -6,9 +6,9 @@ word beginnings with the log-odds of toxic over other documents as weights; exce
 with the word before or after it, seen in several clean documents and in no toxic one) cancel the hits inside
 them.  A document's weighted hits, as a sum and per hundred words, go through a logistic curve.
 
-Everything is learned from a bounded sample of labelled rows: SAMPLE_DOCS by smallest hash of doc_id, candidate
-entries in at least MIN_DF of its toxic documents, at most MAX_ENTRIES and MAX_EXCEPTIONS kept.  The model's
-size is so bounded and it is broadcast; scoring sees every whole text.
+Everything is learned from a bounded sample of labelled rows: SAMPLE_DOCS by smallest hash of doc_id, of a repeated
+doc_id one text.  Entries stand in at least MIN_DF of its toxic documents; all that are strong enough are kept, as
+are all exception phrases.  The sample bounds the model, which is broadcast; scoring sees every whole text.
 
 Cases: null or empty text is scored as one without hits; without labels of both kinds every score is the share
 of toxic labels (0 without labels); a doc_id labelled twice counts as toxic if once toxic; rows
@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType
 
 from .common import tidy, written
 
-SAMPLE_DOCS, MIN_DF, MAX_CANDIDATES, MAX_ENTRIES, MAX_EXCEPTIONS = 20_000, 4, 200_000, 4_000, 1_000
+SAMPLE_DOCS, MIN_DF = 20_000, 4
 BEGINNINGS = range(3, 10)
 MIN_LOG_ODDS = 3.0
 
@@ -103,7 +103,7 @@ def choose_entries(toxic_df: dict[str, int], clean_df: dict[str, int], n_toxic:
         shorter = [f" {body[:n]}" for n in BEGINNINGS if n < len(body)]
         if not any(s in strong and strong[s] >= w - 0.3 for s in shorter if s != e):
             out[e] = w
-    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0]))[:MAX_ENTRIES])
+    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0])))
 
 
 class Matcher:
@@ -226,7 +226,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # bounded, so it may be broadcast
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # of a repeated doc_id the text of the smallest hash, so documents and not rows bound the sample
+    rows = met.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+    rows = written(rows.select("text", "toxic"), "toxic-sample")
     n = {bool(r[0]): r[1] for r in rows.groupBy(F.col("toxic") > 0).count().collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     prior = n_toxic / (n_toxic + n_clean) if n else 0.0
@@ -234,14 +237,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(prior=prior)
     toxic_rows, clean_rows = rows.where("toxic > 0"), rows.where("toxic <= 0")
     counted = lambda part, given: part.mapInArrow(_counts(given), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    top = counted(toxic_rows, None).where(F.col("n") >= MIN_DF).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES)
+    top = counted(toxic_rows, None).where(F.col("n") >= MIN_DF)
     toxic_df = dict(map(tuple, top.collect()))
     clean_df = dict(map(tuple, counted(clean_rows, context.broadcast(frozenset(toxic_df))).collect()))
     model = Model(choose_entries(toxic_df, clean_df, n_toxic, n_clean), prior=prior)
     seen = rows.mapInArrow(_contexts(context.broadcast(model)), "toxic int, phrases array<string>")
     seen = seen.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(
         F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") <= 0, 1).otherwise(0)).alias("c"))
-    spared = seen.where("t = 0 AND c >= 3").orderBy(F.desc("c"), "phrase").limit(MAX_EXCEPTIONS)
+    spared = seen.where("t = 0 AND c >= 3")
     model.exceptions = sorted(r[0] for r in spared.collect())
     points = np.array([tuple(r) for r in rows.mapInArrow(_features(context.broadcast(model)), "toxic int, x double, y double").collect()], dtype=float)
     label = (points[:, 0] > 0).astype(float)

@@ -237,13 +237,29 @@ def test_exact_dedup(make):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == sorted(want)
 
 
+def test_exact_dedup_chains_colliding_keys(make, monkeypatch):
+    """Texts that share a key stand in its chain, in the one bucket of the key, and are still told apart."""
+    monkeypatch.setattr(exact_dedup, "_key", lambda text: F.shiftleft((F.length(text) % 3).cast("long"), 61))
+    rows = [(i, f"t{i % 9}" * (i % 5)) for i in range(80)] + ODD
+    docs = make(rows)
+    got = exact_dedup.exact_duplicates(docs, capacity=4).collect()
+    most = {}
+    for i, t in rows:
+        most[t or ""] = max(most.get(t or "", -1), -1 if i is None else i)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.text_sha256) for r in got) == sorted((str(i), "None" if most[t or ""] < 0 else str(most[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    _, index = exact_dedup.build_index(docs, capacity=4)
+    chains = index.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("chain").alias("places"), F.countDistinct("prefix", "local_depth").alias("buckets"), F.countDistinct(F.input_file_name()).alias("files")).collect()
+    assert len(chains) == 3 and all(r.n == r.places > 1 and r.buckets == 1 and r.files == 1 for r in chains)
+
+
 def test_directory_splits(spark):
-    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"), F.lit(100).cast("long").alias("bytes"))
-    entries = exact_dedup.directory(keys, capacity=20_000).cache()
-    per = keys.withColumn("entry", F.shiftrightunsigned("key", 64 - exact_dedup.MAX_DEPTH).cast("int")).join(entries, "entry").groupBy("bucket", "local_depth").agg(F.sum("bytes").alias("b"))
-    assert per.agg(F.max("b")).first()[0] <= 20_000 and per.count() > 50
-    one = spark.range(1000).select(F.lit(5).cast("long").alias("key"), F.lit(10**9).alias("bytes"))
-    assert exact_dedup.directory(one).count() == 1
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    buckets = exact_dedup.directory(keys, capacity=200)
+    found = exact_dedup._bucketed(keys, buckets)
+    per = found.groupBy("local_depth", "prefix").count()
+    assert found.count() == 20_000 and per.agg(F.max("count")).first()[0] <= 200 and per.count() == buckets.count() > 100
+    assert len({r.local_depth for r in buckets.collect()}) > 1
+    assert exact_dedup.directory(spark.range(1000).select(F.lit(5).cast("long").alias("key")), capacity=10).count() == 1
 
 
 # BPE
