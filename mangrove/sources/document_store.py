@@ -25,7 +25,7 @@ from ..functions.slugs import MAX_SLUG, slug_base, slug_error, slug_source
 from ..operators import indexes
 from ..operators.collections import Catalog, Collection
 from ..operators.mutations import remove, touched, upsert
-from ..operators.unique_slugs import unique_slugs
+from ..operators.unique_slugs import numbered_slug, unique_slugs
 from ..operators.validation import split_valid
 
 DOCUMENTS, SLUGS, ALIASES = "documents", "slugs", "aliases"
@@ -221,7 +221,10 @@ class DocumentStore:
             raise ValidationError(f"{type_}/{failed.id}: no slug ({failed._e})")
         mine = held.select("id", F.col("scope").alias("_scope"), F.col("slug").alias("_slug"))
         rows = rows.join(mine, "id", "left")
-        keeps = (F.col("_scope") == F.col("scope")) & ((F.col("_slug") == F.col("base")) | F.col("_slug").rlike(r"-[0-9]+$") & F.col("base").startswith(F.regexp_replace("_slug", r"-[0-9]+$", "")))
+        number = F.regexp_extract("_slug", r"-([0-9]+)$", 1)
+        # a held slug is its base, or its base cut to make room for its number
+        numbered = (number != "") & (F.col("_slug") == numbered_slug(F.col("base"), F.greatest(F.try_to_number(number, F.lit("9" * 18)), F.lit(2)), policy.max_length))
+        keeps = (F.col("_scope") == F.col("scope")) & ((F.col("_slug") == F.col("base")) | numbered)
         rows = rows.withColumn("_keeps", F.coalesce(keeps, F.lit(False)))
         others = held.join(rows.select("id"), "id", "left_anti").select("scope", F.col("slug").alias("base"), F.lit("").alias("id"), F.lit(True).alias("_fixed"))
         kept = rows.where("_keeps").select("scope", F.col("_slug").alias("base"), F.lit("").alias("id"), F.lit(True).alias("_fixed"))

@@ -50,6 +50,14 @@ def test_schema_quarantine(spark, batch, tmp_path):
     assert store.put(batch(city("2", 5)), schema={"properties": {"name": {"type": "string"}}}, mode="lenient").written == 1
 
 
+def test_numbered_slug_goes_with_its_base(spark, batch, tmp_path):
+    store = DocumentStore(spark, str(tmp_path), slugs={"city": SlugPolicy(["name"])})
+    slugs = lambda: {r.id: r.slug for r in store.table("city", "slugs").collect()}
+    store.put(batch(city("1", "Foo"), city("2", "Foo")))
+    store.put(batch(city("2", "Football news")))
+    assert slugs() == {"1": "foo", "2": "football-news"}
+
+
 def test_slugs(spark, batch, tmp_path):
     store = DocumentStore(spark, str(tmp_path), slugs={"city": SlugPolicy(["name"], ["country"])})
     slugs = lambda: {r.id: r.slug for r in store.table("city", "slugs").collect()}

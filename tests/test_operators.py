@@ -78,6 +78,16 @@ def one_by_one(rows):
     return out
 
 
+def test_unique_slugs_part_where_hashes_meet(spark, monkeypatch):
+    from mangrove.operators import unique_slugs as module
+
+    monkeypatch.setattr(module, "MAX_NUMBER", 1)
+    rows = spark.range(12_000).selectExpr("'s' AS scope", "'same' AS base", "cast(id AS string) AS id")
+    first = rows.selectExpr("substring(sha2(id, 256), 1, 6) AS h").distinct().count()
+    got = unique_slugs(rows, ["scope"])
+    assert first < 12_000 and got.select("slug").distinct().count() == 12_000
+
+
 def test_unique_slugs(spark):
     rows = [("x", "portland", "1"), ("x", "portland", "2"), ("y", "portland", "3"), ("x", "rome", "4"), ("x", "portland", "5")]
     df = spark.createDataFrame(rows, "scope string, base string, id string")
