@@ -672,3 +672,30 @@ def test_near_duplicates_cut_large_groups(make, monkeypatch):
     monkeypatch.setattr(shingles, "GROUP_SETS", 8)
     got = {r.doc_id: r.component_id for r in shingles.near_duplicates(make(rows)).collect()}
     assert got == {i: 0 if i < 60 else i for i, _ in rows}
+
+
+def test_pivots_and_blocks_lose_no_like_line(monkeypatch):
+    """Large groups of lines of one family: the classes are those of all pairs, whole or in blocks that meet."""
+    monkeypatch.setattr(line_dedup, "PIVOTED", 16)
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(1, 4)))) for _ in range(40)]
+    base, lines = list(rng.choice(words, 28)), []
+    for _ in range(60):
+        line = list(base)
+        for _ in range(int(rng.integers(0, 6))):
+            line[int(rng.integers(0, len(line)))] = str(rng.choice(words))
+        lines.append(" ".join(line))
+    lines = dict(enumerate(dict.fromkeys(lines)))
+    want = Union(len(lines))
+    like = {(i, j) for i in lines for j in range(i) if edits(lines[i], lines[j]) <= line_dedup.allowed(min(len(lines[i]), len(lines[j])))}
+    for i, j in like:
+        want.join(i, j)
+    meets = {(a, b): {i: x for i, x in lines.items() if i % 2 in (a, b)} for a, b in ((0, 0), (1, 1), (0, 1))}
+    for bundles in ([(lines, {1: list(lines)}, 0)], [(part, {1: list(part)}, 2 if a != b else 0) for (a, b), part in meets.items()]):
+        got = Union(len(lines))
+        found = line_dedup.forest(bundles)
+        for i, j in found:
+            got.join(i, j)
+        assert all((max(e), min(e)) in like for e in found)
+        assert [got.top(i) for i in lines] == [want.top(i) for i in lines]
+    assert 2 < len({want.top(i) for i in lines}) < len(lines) - 10
