@@ -46,10 +46,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
             grams = map(b" ".join, zip(*(part[i:] for i in range(shingle))))
         else:
             grams = [b" ".join(part)]
-        h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+        ones += _ones(np.array([digest(g, SEED) for g in grams], dtype="<u8"))
+    return _over_half(ones, n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of some hashes."""
+    parts = (_ones(hashes[at : at + SLICE]) for at in range(0, len(hashes), SLICE))
+    return _over_half(sum(parts, np.zeros(64, dtype=np.int64)), len(hashes))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 @tidy

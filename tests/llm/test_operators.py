@@ -674,6 +674,23 @@ def test_near_duplicates_cut_large_groups(make, monkeypatch):
     assert got == {i: 0 if i < 60 else i for i, _ in rows}
 
 
+def test_near_duplicates_go_through_trees(monkeypatch):
+    """All sets of a shard enter a BK-tree, and only sets within its radius are compared; none of them is lost."""
+    rng = np.random.default_rng(11)
+    sets = {}
+    for i in range(0, 60, 2):
+        items = np.unique(rng.integers(0, 2**63, 40 + 5 * i, dtype=np.uint64))
+        few = np.r_[items[len(items) // 20 :], rng.integers(0, 2**63, len(items) // 20, dtype=np.uint64)]
+        sets |= {i: (simhash.fingerprint_of(items), items), i + 1: (simhash.fingerprint_of(few), np.unique(few))}
+    want = [(i + 1, i) for i in range(0, 60, 2)]
+    assert all(shingles.similar(sets[a][1], sets[b][1]) for a, b in want)
+    entered, asked, add, similar = [], [], simhash.BKTree.add, shingles.similar
+    monkeypatch.setattr(simhash.BKTree, "add", lambda tree, value: entered.append(value) or add(tree, value))
+    monkeypatch.setattr(shingles, "similar", lambda a, b: asked.append(1) or similar(a, b))
+    assert shingles.forest(sets) == want
+    assert len(entered) == 60 and len(asked) < 0.4 * 60 * 59 / 2
+
+
 def test_pivots_and_blocks_lose_no_like_line(monkeypatch):
     """Large groups of lines of one family: the classes are those of all pairs, whole or in blocks that meet."""
     monkeypatch.setattr(line_dedup, "PIVOTED", 16)
