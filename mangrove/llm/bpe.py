@@ -7,8 +7,8 @@ that arise or vanish beside them update the affected lists.  As words are indepe
 rank goes first everywhere, each word's merges come in the order that encoding it alone would take.
 
 The vocabulary file (tokenizers JSON, byte-level BPE) is a parameter; its bytes, a few MB whatever the input,
-are broadcast.  Text is handled in pieces of about CHUNK characters of whole documents, and the word cache is
-cut back at CACHE_WORDS, so memory is bounded but for one document.
+are broadcast.  Text is handled in pieces of about ``chunk`` characters of whole documents, and the word cache is
+cut back at ``cache_words``, so memory is bounded but for one document; smaller ones take less memory and more time.
 
 Cases: null counts as empty; an empty text has no tokens and decodes to an empty text; strings of added
 (special) tokens become those tokens, as with the library's defaults; repeated rows are encoded alike; an empty
@@ -190,11 +190,11 @@ class PairIndexBPE:
             out += [part] if part in self.added else self.words.findall(part)
         return out
 
-    def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
+    def run(self, texts: list[str], cache_words: int = CACHE_WORDS) -> list[tuple[str, bytes]]:
         """(ids joined by commas, decoded text in UTF-8) of each text."""
         cut = [self.pieces(t) for t in texts]
         words = set().union(*cut)
-        if len(self.ids_text) > CACHE_WORDS:  # what this piece uses stays
+        if len(self.ids_text) > cache_words:  # what this piece uses stays
             self.ids_text = {w: self.ids_text[w] for w in words if w in self.ids_text}
             self.decoded = {w: self.decoded[w] for w in self.ids_text}
         for a, i in self.added.items():
@@ -210,14 +210,14 @@ class PairIndexBPE:
 _coder: dict[str, PairIndexBPE] = {}
 
 
-def _chunks(batches):
-    """(doc_id array, texts) of about CHUNK characters."""
+def _chunks(batches, chunk: int):
+    """(doc_id array, texts) of about ``chunk`` characters."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         at = 0
         while at < batch.num_rows:
             part, size, start = [], 0, at
-            while at < batch.num_rows and (not part or size < CHUNK):
+            while at < batch.num_rows and (not part or size < chunk):
                 text = texts[at].as_py() or ""
                 part.append(text)
                 size += len(text)
@@ -225,15 +225,15 @@ def _chunks(batches):
             yield ids.slice(start, at - start), part
 
 
-def _encoder(vocab, name: str, digest: bool, with_ids: bool):
+def _encoder(vocab, name: str, digest: bool, with_ids: bool, chunk: int = CHUNK, cache_words: int = CACHE_WORDS):
     @tidy
     def run(batches):
         if name not in _coder:  # one vocabulary at a time stays in a worker
             _coder.clear()
             _coder[name] = PairIndexBPE(vocab.value)
         coder = _coder[name]
-        for ids, texts in _chunks(batches):
-            done = coder.run(texts)
+        for ids, texts in _chunks(batches, chunk):
+            done = coder.run(texts, cache_words)
             n = pa.array([s.count(",") + 1 if s else 0 for s, _ in done], pa.int64())
             if digest:
                 sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -249,14 +249,14 @@ def _encoder(vocab, name: str, digest: bool, with_ids: bool):
     return run
 
 
-def encode_documents(docs: DataFrame, vocab_path: str | None = None, digest: bool = False, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocab_path: str | None = None, digest: bool = False, with_ids: bool = True, chunk: int = CHUNK, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_tokens, decoded, ids array<int> of every document; with ``digest`` the SHA-256 of the ids joined
     by commas and of the decoded text stand in for the decoded text."""
     with open(vocab_path or default_vocab(), "rb") as file:
         raw = file.read()
     vocab, name = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
     out = ("ids_sha256 string, decoded_sha256 string" if digest else "decoded string") + ", ids array<int>" * with_ids
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(vocab, name, digest, with_ids), f"doc_id long, n_tokens long, {out}")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(vocab, name, digest, with_ids, chunk, cache_words), f"doc_id long, n_tokens long, {out}")
 
 
 def op6_query(docs: DataFrame) -> DataFrame:

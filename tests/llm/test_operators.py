@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -285,6 +286,20 @@ def test_bpe(make, small):
 # toxicity
 
 
+def test_bpe_in_small_pieces():
+    """Smaller pieces and a smaller cache give the same tokens; the cache holds its bound and one piece at most."""
+    with open(bpe.default_vocab(), "rb") as file:
+        vocab = type("Vocab", (), {"value": file.read()})
+    texts = [" ".join(f"w{i}x{k * i}" for k in range(40)) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    got = []
+    for sizes in ((), (500, 100)):
+        bpe._coder.clear()
+        got.append([r for out in bpe._encoder(vocab, "v", True, True, *sizes)([batch]) for r in out.to_pylist()])
+        held = len(bpe._coder["v"].ids_text)
+    assert got[0] == got[1] and held < 600
+
+
 def test_fold():
     assert toxicity.fold("You 1d10t! сlown s7upid te$$$ the### l0ser 1999 идиот") == " you idiot clown stupid te the loser идиот "
     assert toxicity.fold(None) == "  " and toxicity.fold("ＩＤＩＯＴ") == " idiot "
