@@ -706,6 +706,35 @@ def test_near_duplicates_go_through_trees(monkeypatch):
     assert len(entered) == 60 and len(asked) < 0.4 * 60 * 59 / 2
 
 
+def test_lines_of_one_tree_are_not_compared_again(monkeypatch):
+    """A family of alike lines in many small groups takes about one comparison a line, and no like line is lost."""
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("abcdefgh "), 240))
+    lines = {k: base[: 8 * k] + "#" + base[8 * k + 1 :] for k in range(30)} | {100 + k: "".join(rng.choice(list("abcdefgh "), 240)) for k in range(10)}
+    names = list(lines)
+    groups = {g: [names[int(i)] for i in rng.choice(40, 12, replace=False)] for g in range(40)}
+    asked, real = [], line_dedup.all_within
+    monkeypatch.setattr(line_dedup, "all_within", lambda pairs: asked.extend(pairs) or real(pairs))
+    links = Union(40)
+    for a, b in line_dedup.forest([(lines, groups, 0)]):
+        links.join(names.index(a), names.index(b))
+    assert len({links.top(i) for i in range(30)}) == 1 and len({links.top(i) for i in range(40)}) == 11
+    assert len(asked) <= 40
+
+
+def test_text_hashes_are_taken_once_a_text(make):
+    """The hash of a whole text stands under the explode in the plan, so it is not worked out for each line."""
+    docs = make([(1, "a\nb"), (2, "c\nb")])
+    hashed, kept = [], line_dedup.written
+    line_dedup.written = lambda df, name: hashed.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name) if name == "line-places" else kept(df, name)
+    try:
+        line_dedup.repeated_lines(docs)
+    finally:
+        line_dedup.written = kept
+    above = hashed[0].split("Generate")[0]
+    assert "xxhash64(text" not in above
+
+
 def test_pivots_and_blocks_lose_no_like_line(monkeypatch):
     """Large groups of lines of one family: the classes are those of all pairs, whole or in blocks that meet."""
     monkeypatch.setattr(line_dedup, "PIVOTED", 16)
